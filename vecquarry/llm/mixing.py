@@ -51,8 +51,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, steps:
     driver with one multiplier a source. Method: rates of minimal relative entropy to one copy each, under a token
     constraint per source and a cap on each document, are min(cap, exp(multiplier * tokens / mean tokens)); the
     multipliers solve the convex dual by safeguarded Newton steps, whose gradient and curvature are sums over the
-    distinct (source, tokens). Rates become copies by systematic rounding along (tokens, hash of doc_id): a source's
-    tokens differ from its goal by at most its longest document.
+    distinct (source, tokens). Rates become copies by systematic rounding along (tokens, hash of doc_id), which leaves a
+    source off its goal by at most its longest document; one document per source then closes most of that.
 
     budget: tokens of the mixture; None takes the most for which all shares are met. Documents without tokens (null or
     empty texts) get no copies; null sources and those not asked for are left out; sources without tokens get nothing and
@@ -109,10 +109,21 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, steps:
     base = F.shiftright(units, BITS)
     rest = units - F.shiftleft(base, BITS)
     order = [F.col("tokens").asc(), F.xxhash64("doc_id", F.lit(seed)).asc(), F.col("doc_id").asc()]
-    summed = prefix_sums(rated, ["source"], order, {"__upto": rest})
+    summed = prefix_sums(rated, ["source"], order, {"__upto": rest, "__at": F.lit(1).cast("bigint")})
     half = 1 << (BITS - 1)
     copies = base + F.shiftright(F.col("__upto") + half, BITS) - F.shiftright(F.col("__upto") - rest + half, BITS)
-    documents = summed.select("doc_id", "source", "tokens", "rate", copies.cast("int").alias("copies"))
+    rounded = summed.select("doc_id", "source", "tokens", "rate", copies.cast("int").alias("copies"), "__at")
+    # What a source is off by is less than its longest document: one copy more or less of the document that comes
+    # nearest to it, where that helps. One row per source.
+    off = rounded.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("got")).collect()
+    short = spark.createDataFrame([(s, float(g - r["got"]), int(c)) for r in off for s, g, c in zip(names, goal, repeats) if s == r["source"]], "source string, short double, cap int")
+    more = F.col("short") > 0
+    can = F.when(more, F.col("copies") < F.col("cap")).otherwise(F.col("copies") > 0)
+    left_over = F.abs(F.abs("short") - F.col("tokens"))
+    helps = can & (F.col("tokens") > 0) & (left_over < F.abs("short"))
+    fix = rounded.join(F.broadcast(short), "source").filter(helps).groupBy("source").agg(F.min_by(F.struct("__at", F.when(more, 1).otherwise(-1).alias("by")), F.struct(left_over, "__at")).alias("f"))
+    fix = F.broadcast(fix.select("source", "f.__at", "f.by"))
+    documents = rounded.join(fix, ["source", "__at"], "left").select("doc_id", "source", "tokens", "rate", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"))
     taken = documents.groupBy("source").agg(
         F.count("*").alias("docs"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies")
     )

@@ -15,7 +15,18 @@ RANKED = f"""{SOUND}, taken AS (
 TIMES = """times AS (
     SELECT DISTINCT * FROM detail WHERE dataset IS NOT NULL AND isfinite(time) AND time > 0)"""
 
+UNITS = """usable AS (
+    SELECT DISTINCT ON (vec_id) dataset, part, vec_id, embedding::DOUBLE[] AS e FROM vectors JOIN dataset_info USING (dataset)
+    WHERE len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = dimension
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
 ORACLE = {
+    "p2_found": f"""WITH {UNITS} SELECT least(a.vec_id, b.vec_id) AS vec_id_a, greatest(a.vec_id, b.vec_id) AS vec_id_b FROM usable a JOIN usable b
+        ON a.dataset = b.dataset AND a.part = 'train' AND b.part <> 'train' WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.995""",
+    "p3_found": f"""WITH {UNITS}, near AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.dataset = b.dataset AND b.part = 'train' AND a.vec_id <> b.vec_id
+        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) <= 5)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near""",
     "p1_found": f"WITH {RANKED} SELECT dataset, k, algorithm, params FROM better WHERE n >= 20 AND list_max(b) * 10 < n",
     "p1_ranking": f"""WITH {RANKED}, vectors AS (SELECT *, list_reverse_sort(b) AS v FROM better)
         SELECT dataset, k, row_number() OVER (PARTITION BY dataset, k ORDER BY v, algorithm, params) AS rank, algorithm, params,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecquarry.llm import mixing, quantiles, summaries, tokens, topn
+from vecquarry.llm import mixing, neighbours, overlap, quantiles, summaries, tokens, topn, vectors
 from vecquarry.llm.leximin import leximin
 from vecquarry.session import materialize, table
 
@@ -82,3 +82,36 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_daily, p4_percentiles, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(vectors.usable(table(spark, d, "vectors"), table(spark, d, "dataset_info")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("train_id", "eval_id").alias("vec_id_a"), F.greatest("train_id", "eval_id").alias("vec_id_b"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per dataset, part and source: overlapping pairs, and the evaluation vectors and train vectors in them."""
+    # a vec_id delivered with several sources counts under the least of them
+    sources = table(spark, d, "vectors").groupBy(F.col("vec_id").alias("eval_id")).agg(F.min("source").alias("source"))
+    pairs = _overlaps(spark, d).join(sources, "eval_id")
+    return pairs.groupBy("dataset", "part", "source").agg(
+        F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("eval_vectors"), F.count_distinct("train_id").alias("train_vectors"),
+        F.count_if(F.col("cosine") == 1).alias("same"), F.round(F.avg("letters"), 3).alias("mean_letters"),
+    )
+
+
+QUERIES |= {f.__name__: f for f in (p2_found, p2_report)}
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "vectors"), table(spark, d, "dataset_info"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_neighbours(spark, d).select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+QUERIES |= {f.__name__: f for f in (p3_found, p3_neighbours)}
