@@ -97,7 +97,7 @@ def prefix_sums(
             yield out.filter(pa.array(outs[0] <= keep)) if keep is not None else out
 
     done = materialize(ranged.mapInArrow(local, schema))
-    tail = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)])
+    tail = F.struct(F.lit(0), *[F.col(g).alias(f"g{i}") for i, g in enumerate(group)])
     ends = (
         done.groupBy("__pid")
         .agg(F.min_by(tail, "__row").alias("head"), F.max_by(tail, "__row").alias("tail"), F.max_by(F.struct("__seg", *names), "__row").alias("end"))

@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from vecquarry.operators import drift
+from vecquarry.session import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+RESULT_FIELDS = {"best_qps": "max", "best_search_time": "min", "recalls": "list"}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.drift(table(spark, d, "results"), RESULT_FIELDS).changes.select("file_id", "field", "change")
+
+
+def p6_changes(spark: SparkSession, d: str) -> DataFrame:
+    return drift.drift(table(spark, d, "results"), RESULT_FIELDS).changes
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift.drift(table(spark, d, "results"), RESULT_FIELDS).unified
+
+
+QUERIES |= {f.__name__: f for f in (p6_found, p6_changes, p6_unified)}
