@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecquarry.llm import mixing, neighbours, overlap, quantiles, summaries, tokens, topn, vectors
+from vecquarry.llm import mixing, neighbours, overlap, quality, quantiles, summaries, tokens, topn, vectors
 from vecquarry.llm.leximin import leximin
 from vecquarry.session import materialize, table
 
@@ -115,3 +115,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (p3_found, p3_neighbours)}
+
+
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_quality(spark, d).filter(F.col("form") != "prose").select("doc_id")
+
+
+QUERIES |= {f.__name__: f for f in (p9_found, p9_quality)}
