@@ -28,7 +28,7 @@ def title(name: Column, drop: int = 2) -> Column:
 
 def slug(text: Column) -> Column:
     """Runs of anything but letters, digits and _ become _, none at the ends."""
-    return F.trim(F.lit("_"), F.regexp_replace(text, r"(?U)\W+", "_"))
+    return F.trim(F.regexp_replace(text, r"(?U)\W+", "_"), F.lit("_"))
 
 
 def marker(text: Column) -> Column:

@@ -51,7 +51,8 @@ def bounds(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     at = df.select(F.posexplode(F.col(embedding).cast("array<double>")).alias("j", "x"))
     per = at.groupBy("j").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.abs("x")).alias("largest"))
     l = F.sort_array(F.collect_list(F.struct("j", "low", "high", "largest")))  # noqa: E741
-    return per.agg(l.alias("l")).select(*[F.transform("l", lambda s, n=n: s[n]).alias(n) for n in ("low", "high", "largest")])
+    part = lambda n: F.transform("l", lambda s: s[n]).alias(n)
+    return per.agg(l.alias("l")).select(*map(part, ("low", "high", "largest")))
 
 
 def _with_bounds(df: DataFrame, train: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def bucket_search(queries: DataFrame, corpus: DataFrame, score: Callable[[np.nda
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "vec_id": [], "distance": []})
         ids = b["vec_id"].to_numpy()
-        d = np.round(score(matrix(a["embedding"]), np.stack(b["payload"].to_numpy())), DIGITS)
+        d = np.round(score(matrix(a["embedding"]), matrix(b["payload"])), DIGITS)
         cols, near = top_k(d, ids, k)
         return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), cols.shape[1]), "vec_id": ids[cols].ravel(), "distance": near.ravel()})
 
@@ -121,6 +121,10 @@ class Index:
         """(qid, rank, vec_id, distance) for queries (qid, embedding)."""
         raise NotImplementedError
 
+    def __getstate__(self) -> dict:
+        """What tasks get: learnt arrays, but no tables."""
+        return {k: v for k, v in self.__dict__.items() if not isinstance(v, (DataFrame, Index))}
+
     def additional(self) -> dict[str, float]:
         """Facts about the last query, such as the number of distances computed."""
         return {}
@@ -201,7 +205,7 @@ class ProductCodes:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         y = np.empty((len(codes), sum(map(len, self.cuts))))
         for i, (c, b) in enumerate(zip(self.cuts, self.books)):
-            y[:, c] = b[codes[:, i]]
+            y[:, c] = b[codes[:, i].astype(int)]
         return y @ self.turn.T if self.rotate else y
 
 
