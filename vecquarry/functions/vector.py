@@ -33,7 +33,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """1 - cosine, within [0, 2]; null if a vector is zero."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))))
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / size)))
 
 
 def inner_product(a: Column, b: Column) -> Column:

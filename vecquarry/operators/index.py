@@ -404,10 +404,11 @@ def nn_descent(corpus: DataFrame, k: int, metric: str, steps: int = 4, seed: int
     rows = materialize(corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL"))
     queries = rows.select(F.col("vec_id").alias("qid"), "embedding")
     n = max(1, rows.count())
-    numbered = rows.select("vec_id", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(max(1, n // (k + 1)))).alias("b"))
+    # a random start: rows that share a bucket of about k + 1 rows in one of three hashes, so that buckets are linked
+    buckets = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(seed + i)), F.lit(max(1, n // (k + 1)))).alias("b")) for i in range(3)])
+    numbered = rows.select("vec_id", F.explode(buckets).alias("b"))
     other = numbered.select(F.col("vec_id").alias("qid"), "b")
-    # a random start: rows that share a bucket of a hash of about k + 1 rows
-    start = other.join(numbered, "b").filter("qid <> vec_id").select("qid", "vec_id")
+    start = other.join(numbered, "b").filter("qid <> vec_id").select("qid", "vec_id").distinct()
     edges = materialize(_as_edges(rescore(start, queries, rows, metric, k), k))
     for step in range(steps):
         back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
@@ -448,7 +449,7 @@ class Graph(Index):
 
     degree: int = 16
     alpha: float = 1.0
-    entries: int = 8
+    entries: int = 64
     descent: int = 0
     bipartite: bool = False
     codes: ScalarCodes | ProductCodes | SignCodes | None = None

@@ -42,7 +42,7 @@ def knn(queries: DataFrame, corpus: DataFrame, metric: str, k: int, *, chunk: in
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of (qid, vec_id, distance) with their ranks."""
-    w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col("vec_id").asc())
+    w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), F.col("vec_id").asc())
     d = F.when(~F.isnan("distance"), F.col("distance"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "vec_id", d.alias("distance"))
 

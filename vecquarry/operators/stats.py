@@ -199,3 +199,23 @@ def kde(df: DataFrame, value: str, by: list[str], low: float = 0.0, high: float
 
     parts = df.select(*by, value).filter(F.col(value).isNotNull() & ~F.isnan(value)).mapInPandas(run, f"{names}, x double, s double, n bigint")
     return parts.groupBy(*by, "x").agg((F.sum("s") / F.sum("n") / (width * np.sqrt(2 * np.pi))).alias("density"))
+
+
+def ood_table(data: DataFrame, learn: DataFrame, cosine: bool = False, seed: int = 1) -> DataFrame:
+    """(measure, null_distance, distance): data against learn (vec_id, embedding), and one half of data, drawn by a hash
+    of vec_id, against the other as the null. cosine: vectors are set to length 1 first."""
+    from vecquarry.functions.vector import l2_normalize
+
+    sizes = [x.select(F.size("embedding").alias("d")).filter("d > 0").distinct().limit(2).collect() for x in (data, learn)]
+    if not sizes[1]:
+        raise ValueError("there are no learn vectors")
+    if any(len(s) != 1 for s in sizes) or sizes[0] != sizes[1]:
+        raise ValueError("data and learn need vectors of one dimension")
+    if cosine:
+        data, learn = (x.withColumn("embedding", l2_normalize(F.col("embedding"))) for x in (data, learn))
+    half = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(2))
+    a, b = data.filter(half == 0), data.filter(half == 1)
+    width = median_bandwidth(data.select("vec_id", "embedding").unionByName(learn.select("vec_id", "embedding")), seed=seed)
+    measures = {"mmd": lambda x, y: mmd(x, y, width, seed=seed), "frechet": frechet, "sliced_wasserstein": lambda x, y: sliced_wasserstein(x, y, seed=seed)}
+    rows = [(n, float(f(a, b)), float(f(data, learn))) for n, f in measures.items()]
+    return data.sparkSession.createDataFrame(rows, "measure string, null_distance double, distance double")

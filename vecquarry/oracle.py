@@ -179,3 +179,13 @@ ORACLE["events_sliding"] = """SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * I
 ORACLE["events_sessions"] = """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session"""
+
+ORACLE["cpu_ranges"] = "SELECT * FROM (VALUES ('0-3,8', [0, 1, 2, 3, 8]), ('5-2', [2, 3, 4, 5]), ('7', [7])) t(given, cpus)"
+ORACLE["fbin_round_trip"] = "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding::DOUBLE[] AS embedding FROM embeddings"
+ORACLE["glove_round_trip"] = "SELECT 'w' || vec_id AS token, embedding::DOUBLE[] AS embedding FROM embeddings"
+ORACLE["dataset_round_trip"] = f"""WITH {VECTORS}, near AS ({nearest(DISTANCE["euclidean"], 10)}), means AS (SELECT qid, round(avg({DISTANCE["euclidean"]}), 6) AS avg_distance FROM q, c GROUP BY qid)
+    SELECT qid, rank, vec_id, distance, avg_distance FROM near JOIN means USING (qid)"""
+ORACLE["results_round_trip"] = "SELECT 'run' || o_orderstatus AS run, o_orderkey AS qid, o_totalprice * CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS time FROM orders"
+ORACLE["front_points"] = f"""WITH {SUMMARY}, f AS (SELECT dataset, algorithm, qps, recall FROM s a WHERE k = 100 AND NOT EXISTS (SELECT 1 FROM s b
+    WHERE b.k = 100 AND b.dataset = a.dataset AND b.algorithm = a.algorithm AND b.qps >= a.qps AND b.recall >= a.recall AND (b.qps > a.qps OR b.recall > a.recall)))
+    SELECT dataset, algorithm, count(DISTINCT (qps, recall))::INT AS steps, max(qps) AS fastest, max(recall) AS best_recall FROM f GROUP BY ALL"""

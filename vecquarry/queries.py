@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from vecquarry.functions import vector as V
 from vecquarry.operators import derive, drift, index, knn, ranks, stats, tests
 from vecquarry.operators.ordered import positions
 from vecquarry.oracle import ORACLE  # noqa: F401
-from vecquarry.plans import grid, runner
-from vecquarry.session import materialize, table
+from vecquarry.plans import grid, report, runner
+from vecquarry.session import materialize, shared_dir, table
+from vecquarry.sources import datasets, files
 from vecquarry.sources.datasets import encoded, hashing_encoder, text_dataset
 from vecquarry.streaming import windows
 
@@ -286,11 +288,8 @@ def _by_label(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def ood_distances(spark: SparkSession, d: str) -> DataFrame:
-    """Distances of two distributions, and of one with itself as the null."""
-    a, b = _by_label(spark, d)
-    width = stats.median_bandwidth(a.unionByName(b))
-    rows = [(n, float(f(a, a)), float(f(a, b))) for n, f in (("frechet", stats.frechet), ("mmd", lambda x, y: stats.mmd(x, y, width)), ("sliced_wasserstein", stats.sliced_wasserstein))]
-    return spark.createDataFrame(rows, "measure string, same double, other double")
+    """Distances of two distributions, and of halves of one as the null."""
+    return stats.ood_table(*_by_label(spark, d))
 
 
 # Configurations and their analysis
@@ -508,6 +507,60 @@ def prefixed_texts(spark: SparkSession, d: str) -> DataFrame:
     return encoded(table(spark, d, "documents"), hashing_encoder, "passage")
 
 
+@query
+def cpu_ranges(spark: SparkSession, d: str) -> DataFrame:
+    given = spark.createDataFrame([("0-3,8",), ("5-2",), ("7",)], "given string")
+    return given.select("given", N.cpu_range(F.col("given")).alias("cpus"))
+
+
+# Files and folders, written to the shared folder and read again
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def fbin_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors through one file of rows, dimension and numbers, whose row numbers are the ids."""
+    path = _place(spark, "fbin")
+    files.write_fbin(_corpus(spark, d).coalesce(1).sortWithinPartitions("vec_id"), path)
+    return files.read_fbin(spark, f"{path}/part-00000.fbin").withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query
+def glove_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = _place(spark, "glove")
+    _corpus(spark, d).select(F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")).write.text(path)
+    return files.read_glove(spark, path).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query
+def dataset_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Ground truth of a dataset with the asking vectors as its test part, as written with it."""
+    path, c = _place(spark, "dataset"), _corpus(spark, d)
+    datasets.write_dataset(spark, path, "embeddings-64-euclidean", c, _asking(c).withColumnRenamed("qid", "vec_id"), "euclidean", "float", 10)
+    train, test, _ = datasets.read_dataset(spark, path)
+    near = spark.read.parquet(f"{path}/neighbours").join(spark.read.parquet(f"{path}/distances"), "qid")
+    return near.select("qid", "rank", "vec_id", "distance", "avg_distance")
+
+
+@query
+def results_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Results of two runs, of which one is written twice."""
+    path = _place(spark, "results")
+    o = table(spark, d, "orders").select(F.lit("d").alias("dataset"), F.lit(10).alias("k"), F.lit("a").alias("algorithm"), F.concat(F.lit("run"), "o_orderstatus").alias("run"), F.col("o_orderkey").alias("qid"), F.col("o_totalprice").alias("time"))
+    datasets.write_results(o, path)
+    datasets.write_results(o.filter("run = 'runO'").withColumn("time", F.col("time") * 2), path)
+    return datasets.read_results(spark, path, "d", 10).select("run", "qid", "time")
+
+
+@query
+def front_points(spark: SparkSession, d: str) -> DataFrame:
+    p = report.front_points(ranks.pareto_front(_summary(spark, d).filter("k = 100"), ["dataset", "algorithm"]))
+    return p.select("dataset", "algorithm", F.size("points").alias("steps"), F.element_at("points", 1)["qps"].alias("fastest"), F.element_at("points", -1)["recall"].alias("best_recall"))
+
+
 # Joins, aggregates, windows, sorts and sets on relational tables
 
 
