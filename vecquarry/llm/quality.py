@@ -87,8 +87,11 @@ EXAMPLES = [
 STATISTICS = ["common", "length", "symbols", "digits", "separators", "longest", "repeated", "turns"]
 #: Added to the variances of the components, in units of the whole variance.
 RIDGE = 0.05
-#: In every step the examples together count as this share of all lines, each in its own component, which keeps components from trading places.
+#: In every step the examples together count as this share of all lines, and as one line each at least, each in its own component, which keeps
+#: components from trading places.
 ANCHOR = 0.05
+#: Variance at which components begin, and the number of lines for which it goes on counting: what explains few lines stays wide.
+START, PRIOR_LINES = 0.3, 10
 STEPS = 15
 
 ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii())
@@ -110,9 +113,9 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, text) of all lines that are not blank."""
+    """(doc_id, row, line, text) of all lines that are not blank; row tells rows of one doc_id apart."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", HIDDEN, ""), r"<[a-zA-Z/!][^<>]{0,200}>", " "), r"https?://[^\s，。]+", " ")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, LINE_ENDS)).alias("line", "text"))
+    lines = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, LINE_ENDS)).alias("line", "text"))
     return lines.filter(F.col("text").rlike(r"(?U)\S"))
 
 
@@ -138,11 +141,13 @@ def line_statistics(lines: DataFrame, common_words: DataFrame) -> DataFrame:
         .withColumn("marks", _count(t, r"[,;:|\t=&/_<>→»•·、；：]| {2,}"))
         .withColumn("longest", F.array_max(F.transform(F.split(t, r"(?U)[\s\p{IsHan}\-/,.…，。]+"), F.length)))
         .withColumn("ends", F.when(t.rlike(SENTENCE_ENDS), 1).otherwise(0))
-        .select("doc_id", "line", F.struct("chars", "symbol_chars", "digits", "turns", "marks", "longest", "ends").alias("f"), F.explode_outer(F.regexp_extract_all(fold(t), F.lit(WORD), F.lit(0))).alias("word"))
+        .select("doc_id", "row", "line", F.struct("chars", "symbol_chars", "digits", "turns", "marks", "longest", "ends").alias("f"), F.explode_outer(F.regexp_extract_all(fold(t), F.lit(WORD), F.lit(0))).alias("word"))
     )
-    by_line = formed.join(known, "word", "left").groupBy("doc_id", "line").agg(
+    by_row = formed.join(known, "word", "left").groupBy("doc_id", "row", "line").agg(
         F.first("f").alias("f"), F.count("word").alias("words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("word_chars"), F.count("known").alias("common_words"), F.size(F.collect_set("word")).alias("kinds")
     )
+    # repeated rows of one document give the same lines, which count once
+    by_line = by_row.groupBy("doc_id", "line").agg(F.min(F.struct("f", "words", "word_chars", "common_words", "kinds")).alias("l")).select("doc_id", "line", "l.*")
     words = F.greatest("words", F.lit(1)).cast("double")
     chars = F.col("f.chars").cast("double")
     return by_line.select(
@@ -197,7 +202,7 @@ def fit(lines: DataFrame, examples: pd.DataFrame, steps: int = STEPS) -> Mixture
     kinds = list(dict.fromkeys(zip(examples["form"], examples["kind"])))
     member = np.array([kinds.index(x) for x in zip(examples["form"], examples["kind"])])
     means = np.array([shown[member == k].mean(axis=0) for k in range(len(kinds))])
-    model = Mixture(center, scale, np.full(len(kinds), 1 / len(kinds)), means, np.tile(np.eye(d) * 0.3, (len(kinds), 1, 1)), [f for f, _ in kinds])
+    model = Mixture(center, scale, np.full(len(kinds), 1 / len(kinds)), means, np.tile(np.eye(d) * START, (len(kinds), 1, 1)), [f for f, _ in kinds])
     for _ in range(steps if first["n"] else 0):
 
         def sums(batches: Iterator[pa.RecordBatch], model: Mixture = model) -> Iterator[pa.RecordBatch]:
@@ -214,12 +219,13 @@ def fit(lines: DataFrame, examples: pd.DataFrame, steps: int = STEPS) -> Mixture
         rows = lines.select(*STATISTICS).mapInArrow(sums, "sums array<double>").collect()  # a row of fixed size a partition
         total = np.sum([r["sums"] for r in rows], axis=0).reshape(len(kinds), -1)
         for x, k in zip(shown, member):
-            total[k] += ANCHOR * first["n"] / len(shown) * np.concatenate([[1], x, np.outer(x, x).ravel()])
+            total[k] += max(1.0, ANCHOR * first["n"] / len(shown)) * np.concatenate([[1], x, np.outer(x, x).ravel()])
         n = total[:, 0]
         seen = n > 1e-6 * n.sum()  # what explains no lines stays at its examples
         mean = np.where(seen[:, None], total[:, 1 : 1 + d] / np.maximum(n, 1e-300)[:, None], model.means)
         second = total[:, 1 + d :].reshape(-1, d, d) / np.maximum(n, 1e-300)[:, None, None]
-        covariance = np.where(seen[:, None, None], second - mean[:, :, None] * mean[:, None, :], model.covariances) + np.eye(d) * RIDGE
+        own = np.where(seen[:, None, None], second - mean[:, :, None] * mean[:, None, :], model.covariances)
+        covariance = (n[:, None, None] * own + PRIOR_LINES * START * np.eye(d)) / (n[:, None, None] + PRIOR_LINES) + np.eye(d) * RIDGE
         weight = np.maximum(n / n.sum(), 1e-6)
         model = Mixture(center, scale, weight / weight.sum(), mean, covariance, model.forms)
     explained = model.responsibilities(shown)
