@@ -231,6 +231,10 @@ def match(files: DataFrame, fields: list[str]) -> DataFrame:
         out = []
         for c in lists:
             c = [] if c is None else c
+            if len({x["path"] for x in c}) == len({x["field"] for x in c}) == len(c):  # nothing to choose
+                own = {x["field"]: x for x in c}
+                out.append([{"field": f, "path": own[f]["path"], "type": own[f]["type"], "numbers": own[f]["numbers"]} if f in own else {"field": f, "path": None, "type": None, "numbers": None} for f in fields])
+                continue
             paths = sorted({x["path"] for x in c})
             gain = np.zeros((len(fields), len(paths)))
             by = {}
@@ -264,7 +268,7 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     tasks: places in the series are exact prefix sums, and predecessors are found by joins on places.
     """
     files = materialize(read_files(results))
-    matched = match(files, list(fields))
+    matched = materialize(match(files, list(fields)))  # range partitioning reads it twice
     present, typed = F.col("path").isNotNull(), F.col("type").isNotNull()
     one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     rows = prefix_sums(matched, ["dataset", "algorithm", "field"], [F.col("written_at").asc_nulls_first(), F.col("file_id").asc()], {"place": F.lit(1).cast("bigint"), "present": one(present), "typed": one(typed)})
