@@ -198,7 +198,8 @@ def profile(files: DataFrame, fields: list[str]) -> DataFrame:
     logs = F.transform(F.filter("numbers", lambda x: x != 0), lambda x: F.log10(F.abs(x)))
     # a value sketch a path: the median over files of the mean logarithm within each
     stats = long.select("path", (F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(logs), F.lit(0))).alias("log")).groupBy("path")
-    stats = stats.agg(F.count("*").alias("files"), F.percentile_approx("log", 0.5, 1000).alias("decades"))
+    # written first: names are compared once a path, where the optimizer would compare them once an entry, below the aggregate
+    stats = materialize(stats.agg(F.count("*").alias("files"), F.percentile_approx("log", 0.5, 1000).alias("decades")))
     named = stats.withColumn("s", similar("path")).select("path", "files", "decades", F.posexplode("s").alias("f", "name")).filter(F.col("name") >= NAME_LEAST)
     named = materialize(named.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1)).drop("f"))
     # which of a file's paths are spellings of a field: the others are counted beside them
