@@ -8,7 +8,7 @@ split, so that a task holds a bounded piece; candidates of all buckets are merge
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecquarry.functions.kernels import distances, matrix, prepare, top_k
-from vecquarry.operators.knn import DIGITS, knn, ranked, rescore
+from vecquarry.operators.knn import DIGITS, knn, ranked, recall_ids, rescore
 from vecquarry.session import materialize
 
 SAMPLE = 20_000
@@ -143,6 +143,17 @@ class Index:
         return f"{type(self).__name__}({self.metric}, {', '.join(f'{k}={v}' for k, v in self.arguments.items())})"
 
 
+def tuned(index: Index, corpus: DataFrame, k: int, arguments: Iterable[dict], target: float = 0.93, asks: int = 200) -> Index:
+    """The fitted index with the first of the query arguments (in order of effort) at which `asks` rows of the corpus,
+    drawn by a hash of vec_id, find at least the target share of their exact neighbours; with the last if none does."""
+    sample = materialize(corpus.filter("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id", F.lit(index.seed)), "vec_id").limit(asks).select(F.col("vec_id").alias("qid"), "embedding"))
+    truth = materialize(knn(sample, corpus, index.metric, k))
+    for a in arguments:
+        if recall_ids(index.set_query_arguments(**a).query(sample, k), truth, k).agg(F.avg("recall")).first()[0] >= target:
+            break
+    return index
+
+
 @dataclass
 class Flat(Index):
     METRICS = ("euclidean", "cosine", "normalized", "ip", "hamming")

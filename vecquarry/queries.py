@@ -139,15 +139,28 @@ def _approximate(make: Callable[[], index.Index], **arguments) -> Callable[[Spar
     return run
 
 
+def _tuned(make: Callable[[], index.Index], lists: int, wide: str, first: int, unit: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The candidates ranked again (`wide`, in units of `unit` rows) double from `first` on until a sample of rows finds
+    its neighbours, as a fixed number of them is an ever smaller share of more rows; in the end all rows are ranked."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = materialize(_corpus(spark, d))
+        every = -(-c.count() // unit)
+        steps = [{"n_probe": lists - lists // 8, wide: first << i} for i in range(max(0, (every // first).bit_length()))]
+        return index.tuned(make().fit(c), c, 10, [*steps, {"n_probe": lists, wide: max(1, every)}]).query(_asking(c), 10)
+
+    return run
+
+
 QUERIES |= {
-    "ivf_kmeans_search": _approximate(lambda: index.IVF(n_list=16), n_probe=6),
-    "ivf_sq8_search": _approximate(lambda: index.IVF(n_list=16, codes=index.ScalarCodes()), n_probe=6, k_factor=2),
-    "ivf_pq_search": _approximate(lambda: index.IVF(n_list=16, codes=index.ProductCodes(16, 16)), n_probe=6, k_factor=5),
-    "ivf_bits_search": _approximate(lambda: index.IVF(n_list=16, codes=index.SignCodes()), n_probe=6, k_factor=6),
+    "ivf_kmeans_search": _approximate(lambda: index.IVF(n_list=16), n_probe=13),
+    "ivf_sq8_search": _approximate(lambda: index.IVF(n_list=16, codes=index.ScalarCodes()), n_probe=13, k_factor=2),
+    "ivf_pq_search": _tuned(lambda: index.IVF(n_list=16, codes=index.ProductCodes(16, 16)), 16, "k_factor", 10, 10),
+    "ivf_bits_search": _tuned(lambda: index.IVF(n_list=16, codes=index.SignCodes()), 16, "k_factor", 10, 10),
     "lsh_search": _approximate(lambda: index.Hashing(metric="cosine", tables=12, bits=5), probes=6),
-    "tree_search": _approximate(lambda: index.Trees(trees=16, depth=4), votes=2),
+    "tree_search": _approximate(lambda: index.Trees(trees=32, depth=4), votes=1),
     "graph_search": _approximate(lambda: index.Graph(degree=16), beam=40),
-    "lowrank_search": _approximate(lambda: index.LowRank(rank=32, n_list=8), n_probe=4, rerank=60),
+    "lowrank_search": _tuned(lambda: index.LowRank(rank=32, n_list=8), 8, "rerank", 120, 1),
 }
 
 
