@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from vecquarry.operators import knn
+from vecquarry.operators import index, knn
 from vecquarry.queries import QUERIES, _asking, _corpus
 
 DATA = os.environ.get("TEST_LARGE_SF_DIR", "/root/testdata/sf0.1")
@@ -20,3 +20,11 @@ def test_registered_searches_find_most(spark, truth, name):
     share = len(got & truth) / len(truth)
     print(name, share)
     assert share >= 0.9
+
+
+def test_registered_descent_finds_most_edges(spark):
+    exact = {(r["src"], r["dst"]) for r in index.knn_graph(_corpus(spark, DATA), 10, "euclidean").collect()}
+    got = {(r["src"], r["dst"]) for r in QUERIES["nn_descent"](spark, DATA).collect()}
+    share = len(got & exact) / len(exact)
+    print("nn_descent", share)
+    assert len(got) == len(exact) and share >= 0.9

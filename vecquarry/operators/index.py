@@ -409,25 +409,43 @@ def _as_edges(pairs: DataFrame, k: int) -> DataFrame:
     return ranked(pairs.select("qid", "vec_id", "distance"), k).select(F.col("qid").alias("src"), "rank", F.col("vec_id").alias("dst"), "distance")
 
 
-def nn_descent(corpus: DataFrame, k: int, metric: str, steps: int = 4, seed: int = 1) -> DataFrame:
-    """(src, rank, dst, distance): neighbours of neighbours, in either direction, are tried and the k best kept, step by
-    step from random ones. A row offers at most 2 * k partners a step."""
+#: Of a row with many reverse partners, the rows of which one task pairs at once.
+HUB = 64
+#: Descent ends when a step changes at most this share of the edges.
+CHANGED_LEAST = 0.001
+
+
+def nn_descent(corpus: DataFrame, k: int, metric: str, steps: int = 1, seed: int = 1) -> DataFrame:
+    """(src, rank, dst, distance): neighbours of neighbours, in either direction, are tried and the best kept, step by
+    step from random ones, at least `steps` times and on until a step changes few edges. Lists of 2.5 * k rows are kept on
+    the way and cut to k at the end, as lists of k rows get stuck. All reverse partners take part; the partners of a hub
+    are split into blocks whose pairs are made in tasks of their own."""
+    width = -(-5 * k // 2)
     rows = materialize(corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL"))
     queries = rows.select(F.col("vec_id").alias("qid"), "embedding")
     n = max(1, rows.count())
-    # a random start: rows that share a bucket of about k + 1 rows in one of three hashes, so that buckets are linked
-    buckets = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(seed + i)), F.lit(max(1, n // (k + 1)))).alias("b")) for i in range(3)])
+    # a random start: rows that share a bucket of about width + 1 rows in one of three hashes, so that buckets are linked
+    buckets = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(seed + i)), F.lit(max(1, n // (width + 1)))).alias("b")) for i in range(3)])
     numbered = rows.select("vec_id", F.explode(buckets).alias("b"))
     other = numbered.select(F.col("vec_id").alias("qid"), "b")
     start = other.join(numbered, "b").filter("qid <> vec_id").select("qid", "vec_id").distinct()
-    edges = materialize(_as_edges(rescore(start, queries, rows, metric, k), k))
-    for step in range(steps):
-        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")
-        around = edges.select("src", "dst", "distance").unionByName(_as_edges(back.select(F.col("src").alias("qid"), F.col("dst").alias("vec_id"), "distance"), k).select("src", "dst", "distance")).select("src", "dst").distinct()
-        two = around.select(F.col("src").alias("mid"), F.col("dst").alias("qid")).join(around.select(F.col("src").alias("mid"), F.col("dst").alias("vec_id")), "mid").filter("qid <> vec_id")
-        pairs = two.select("qid", "vec_id").unionByName(edges.select(F.col("src").alias("qid"), F.col("dst").alias("vec_id"))).distinct()
-        edges = materialize(_as_edges(rescore(pairs, queries, rows, metric, k), k))
-    return edges
+    edges = materialize(_as_edges(rescore(start, queries, rows, metric, width), width))
+    step = 0
+    while True:
+        forth = edges.select("src", "dst")
+        around = forth.unionByName(forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        blocks = around.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("blocks"))
+        split = around.join(blocks, "src").withColumn("block", F.pmod(F.xxhash64("dst"), F.col("blocks").cast("bigint")).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = split.select(F.col("src").alias("mid"), "block", every.alias("against"), F.col("dst").alias("qid"))
+        right = split.select(F.col("src").alias("mid"), F.col("block").alias("against"), every.alias("block"), F.col("dst").alias("vec_id"))
+        two = left.join(right, ["mid", "block", "against"]).filter("qid <> vec_id")
+        pairs = two.select("qid", "vec_id").unionByName(forth.select(F.col("src").alias("qid"), F.col("dst").alias("vec_id"))).distinct()
+        better = materialize(_as_edges(rescore(pairs, queries, rows, metric, width), width))
+        changed = better.join(edges, ["src", "dst"], "left_anti").count()
+        edges, step = better, step + 1
+        if step >= steps and changed <= CHANGED_LEAST * n * width:
+            return edges.filter(F.col("rank") <= k)
 
 
 def prune(edges: DataFrame, corpus: DataFrame, degree: int, metric: str, alpha: float = 1.0) -> DataFrame:

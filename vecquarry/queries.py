@@ -174,7 +174,7 @@ def tree_supervised_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nn_descent(spark: SparkSession, d: str) -> DataFrame:
-    return index.nn_descent(_corpus(spark, d), 10, "euclidean", 4)
+    return index.nn_descent(_corpus(spark, d), 10, "euclidean")
 
 
 @query
