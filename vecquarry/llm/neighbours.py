@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,8 @@ from vecquarry.operators.ordered import prefix_sums
 
 #: Each curve runs through a grid of 2**GRID_BITS steps a side in a random projection to CURVE_DIMENSIONS.
 CURVE_DIMENSIONS, GRID_BITS = 6, 6
-#: Curves along which a cell is searched, and along which a dataset of more than one cell is cut into cells.
+#: Curves along which a cell is searched, and the least number along which a dataset of more than one cell is cut into
+#: cells: see cuts_of.
 LOCAL_CURVES, CUTTING_CURVES = 8, 3
 #: Train rows of a cell, and those of either neighbouring cell that are added to it.
 CELL, HALO = 32768, 4096
@@ -26,6 +27,12 @@ WINDOW = 2048
 SLACK = 4e-6
 
 
+def cuts_of(train: Column, cell: int, least: int = CUTTING_CURVES) -> Column:
+    """Curves along which a dataset of so many train rows is cut: one cell is a smaller share of more rows, so their
+    number grows by one every two cells."""
+    return F.greatest(F.lit(least), F.lit(2) + F.ceil(train / (2 * cell))).cast("int")
+
+
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of integer grid points (rows; entries below 2**bits).
 
@@ -172,11 +179,12 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, cell:
 
     Method: a Hilbert curve through a random projection of the vectors with a random shift of the grid puts similar
     vectors near each other; several such curves make up for what each tears apart. Datasets of more than `cell` train
-    rows are range-partitioned in Spark along `cutting` curves into cells of that many train rows, to which `halo` train
-    rows of either neighbouring cell are added; smaller ones are one cell. In a cell each query is compared with the
-    `window` train rows before and after it on each of `curves` further curves, and what is found is merged and ranked
-    by exact cosines; results of a vector's cells are merged likewise. No task holds more than a cell. Datasets of up to
-    2 * window train rows come out exact. Equal vectors are searched once.
+    rows are range-partitioned in Spark along `cutting` curves or more (cuts_of) into cells of that many train rows, to
+    which `halo` train rows of either neighbouring cell are added, and each query is compared with its whole cells;
+    smaller ones are one cell. In that each query is compared with the `window` train rows before and after it on each
+    of `curves` further curves, and what is found is merged and ranked by exact cosines; results of a vector's cells are
+    merged likewise. No task holds more than a cell. Datasets of up to 2 * window train rows come out exact. Equal
+    vectors are searched once.
 
     Rows of one vec_id count once. Fewer than k neighbours come out where a dataset has no more. Nulls: see
     vectors.usable. Empty inputs give no rows. Other columns are ignored.
@@ -191,15 +199,17 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, cell:
     if counts.filter(F.col("__t") > cell).isEmpty():
         return alone
 
-    big = rows.filter("__big").select("dataset", "part", "vec_id", "embedding")
+    big = rows.filter("__big").select("dataset", "part", "vec_id", "embedding", cuts_of(F.col("__t"), cell, cutting).alias("cuts"))
     keyed_schema = T.StructType([*big.schema.fields, T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            e = b.column("embedding")
-            lengths = np.asarray(e.value_lengths())
-            values, ends = np.asarray(e.flatten()), np.cumsum(lengths)
-            for curve in range(cutting):
+        for whole in batches:
+            cuts = np.asarray(whole.column("cuts"))
+            for curve in range(cuts.max(initial=0)):
+                b = whole.filter(pa.array(cuts > curve))
+                e = b.column("embedding")
+                lengths = np.asarray(e.value_lengths())
+                values, ends = np.asarray(e.flatten()), np.cumsum(lengths)
                 key = np.zeros(b.num_rows, np.int64)
                 for d in np.unique(lengths):
                     at = np.flatnonzero(lengths == d)
@@ -220,7 +230,8 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, cell:
         lambda c: c.isNotNull(),
     )
     celled = along.withColumn("c", F.explode(copies)).select("dataset", "curve", F.col("c.cell").alias("cell"), F.col("c.halo").alias("halo"), "part", "vec_id", "embedding")
-    lists = celled.groupBy("dataset", "curve", "cell").applyInPandas(search, schema)
+    complete = lambda pdf: _nearest(pdf, k, cell + 2 * halo, 1)
+    lists = celled.groupBy("dataset", "curve", "cell").applyInPandas(complete, schema)
     merged = lists.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("n"))
     merged = merged.select("vec_id", F.explode("n").alias("n")).select("vec_id", "n.neighbour", (-F.col("n.c")).alias("cosine"))
     return alone.unionByName(merged)
