@@ -7,30 +7,35 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecquarry.llm.vectors import pair_cosines, stack, unit, usable
-from vecquarry.operators.ordered import prefix_sums
+from vecquarry.llm.vectors import pair_cosines, unit, usable
+from vecquarry.operators.ordered import positions
+from vecquarry.session import materialize, salted_join
 
 #: Each curve runs through a grid of 2**GRID_BITS steps a side in a random projection to CURVE_DIMENSIONS.
-CURVE_DIMENSIONS, GRID_BITS = 6, 6
-#: Curves along which a cell is searched, and the least number along which a dataset of more than one cell is cut into
-#: cells: see cuts_of.
-LOCAL_CURVES, CUTTING_CURVES = 8, 3
-#: Train rows of a cell, and those of either neighbouring cell that are added to it.
-CELL, HALO = 32768, 4096
-#: Train rows before and after a query on a curve that are compared with it.
-WINDOW = 2048
+CURVE_DIMENSIONS, GRID_BITS = 8, 6
+#: Train rows before and after a row on a curve that are compared with it.
+WINDOW = 1024
+#: How fast the number of curves grows with a dataset: see curves_of.
+DENSITY = 2.0
+#: Rows of a partition of a curve, on average.
+CELL = 32768
+#: Groups of more equal vectors than this are searched through a few of them.
+COPIES = 64
 #: Room for the error of cosines in single precision, so that ties are decided in double.
 SLACK = 4e-6
+LIST = "array<struct<c: int, id: bigint>>"
 
 
-def cuts_of(train: Column, cell: int, least: int = CUTTING_CURVES) -> Column:
-    """Curves along which a dataset of so many train rows is cut: one cell is a smaller share of more rows, so their
-    number grows by one every two cells."""
-    return F.greatest(F.lit(least), F.lit(2) + F.ceil(train / (2 * cell))).cast("int")
+def curves_of(train: Column, window: int = WINDOW, density: float = DENSITY) -> Column:
+    """Curves for a dataset of so many train rows. A window is a smaller share of a larger dataset, so their number grows,
+    with the square root of it, which keeps recall about level. One is enough where its window holds every train row."""
+    grown = F.ceil(density * (F.sqrt(train / F.lit(window)) - 0.5)).cast("int")
+    return F.when(train <= window, F.lit(1)).otherwise(F.greatest(F.lit(2), grown))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -73,165 +78,211 @@ def curve_keys(units: np.ndarray, curve: int) -> np.ndarray:
     return hilbert_keys(np.clip(grid, 0, side - 1).astype(np.int64), GRID_BITS)
 
 
-def _best(query: np.ndarray, other: np.ndarray, cosine: np.ndarray, n: int, keep: int) -> tuple[np.ndarray, ...]:
-    """Per query the `keep` best, and all that are within SLACK of the last of them; the threshold of each query."""
-    code = query * (n + 1) + other
-    _, first = np.unique(code, return_index=True)
-    query, other, cosine = query[first], other[first], cosine[first]
-    by = np.lexsort((-cosine, query))
-    query, other, cosine = query[by], other[by], cosine[by]
-    start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, np.int64)
-    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
-    limit = np.full(n, -np.inf, np.float32)
-    last = rank == keep - 1
-    limit[query[last]] = cosine[last] - np.float32(SLACK)
-    kept = cosine >= limit[query]
-    return query[kept], other[kept], cosine[kept], limit
-
-
-def search_cell(x: np.ndarray, train: np.ndarray, asks: np.ndarray, keep: int, window: int = WINDOW, curves: int = LOCAL_CURVES, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, train row) of the best `keep` train rows of each row that asks, and of those as good as the last.
-
-    x: distinct unit vectors in single precision. Along each curve, every query is compared with the `window` train rows
-    before and after it; only what beats a query's best so far is kept. With so few train rows that one window holds
-    them all, the first curve is exact and the only one.
+def _least_kept(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Per row a bound that its k largest entries reach: the k-th of the largest entries of runs of columns, of which
+    each run gives one, so that only a fraction of the row is sorted."""
+    n, m = cosines.shape
+    run = 16
+    if m <= 4 * k or m < 8 * run:
+        return np.full(n, -np.inf, cosines.dtype) if m <= k else -np.partition(-cosines, k - 1, axis=1)[:, k - 1]
+    whole = m // run * run
+    tops = cosines[:, :whole].reshape(n, -1, run).max(axis=2)
+    if whole < m:
+        tops = np.concatenate([tops, cosines[:, whole:].max(axis=1, keepdims=True)], axis=1)
+    return -np.partition(-tops, k - 1, axis=1)[:, k - 1] if tops.shape[1] >= k else np.full(n, -np.inf, cosines.dtype)
+
+
+def search_windows(ids: np.ndarray, exact: np.ndarray, place: np.ndarray, own: np.ndarray, target_ids: np.ndarray, targets: np.ndarray, k: int, window: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, target row, cosine) of the k best targets within `window` places of each query row, best first.
+
+    ids, exact: the queries, unit vectors in double; place: the number of targets before each, ascending; own: its row
+    among the targets, or -1; target_ids and targets are in the order of the curve. A query is no target of itself.
+    Cosines are rounded to six decimals, of equal ones the smaller id comes first.
+    """
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    q32, t32 = exact.astype(np.float32), targets.astype(np.float32)
+    for a in range(0, len(ids), block):
+        some = slice(a, min(a + block, len(ids)))
+        low, high = max(0, place[some][0] - window), min(len(targets), place[some][-1] + window + 1)
+        if high <= low:
+            continue
+        cosines = q32[some] @ t32[low:high].T
+        self_row = np.flatnonzero(own[some] >= 0)
+        cosines[self_row, own[some][self_row] - low] = -np.inf
+        i, j = np.nonzero(cosines >= np.maximum(_least_kept(cosines, k) - np.float32(SLACK), np.float32(-2))[:, None])
+        i, j = i + a, j + low
+        value = pair_cosines(exact, i, targets, j)
+        other = ids[i] != target_ids[j]
+        i, j, value = i[other], j[other], value[other]
+        by = np.lexsort((target_ids[j], -value, i))
+        i, j, value = i[by], j[by], value[by]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k
+        found.append((i[keep], j[keep], value[keep]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _lists(ids: np.ndarray, i: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> pa.Array:
+    """One list of (c, id) per row of ids, i ascending; c is the negative cosine in millionths, so that lists sort by it."""
+    ends = np.searchsorted(i, np.arange(len(ids) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(-np.round(cosine * 1e6).astype(np.int32)), pa.array(other)], ["c", "id"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Unit rows, in double, of an Arrow column of lists of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return unit(np.asarray(column.flatten()).reshape(len(column), -1))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (with `curves`) once per curve of their dataset, with curve and key."""
+    schema = T.StructType([*rows.drop("curves").schema.fields, T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            curves = np.asarray(whole.column("curves"))
+            lengths = np.asarray(whole.column("embedding").value_lengths())
+            for curve in range(curves.max(initial=0)):
+                kept = pa.array(curves > curve)
+                b, sizes = whole.filter(kept), lengths[curves > curve]
+                key = np.zeros(b.num_rows, np.int64)
+                for d in np.unique(sizes):
+                    at = np.flatnonzero(sizes == d)
+                    key[at] = curve_keys(matrix(b.column("embedding").take(pa.array(at))), curve)
+                columns = [b.column(c) for c in b.schema.names if c != "curves"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(b.num_rows, curve, np.int32)), pa.array(key)], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+EDGE = "border: int, left: boolean, dataset: string, curve: int, train: boolean, vec_id: bigint, embedding: array<float>"
+
+
+def _windows(k: int, window: int, parts: int):
+    """A pass over the sorted partitions of all curves: a list per row, and the rows near the partition's ends, which
+    the neighbouring partitions may need."""
+    names = ["vec_id", "near", "edge"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        pid, rows = TaskContext.get().partitionId(), pa.Table.from_batches(held).combine_chunks()
+        del held
+        ids, curve, data = np.asarray(rows["vec_id"]), np.asarray(rows["curve"]), rows["dataset"].combine_chunks().dictionary_encode()
+        code = np.asarray(data.indices)
+        h, key, train = np.asarray(rows["h"]), np.asarray(rows["key"]), np.asarray(rows["train"])
+        fresh = np.ones(len(ids), bool)  # rows delivered again stand side by side
+        fresh[1:] = (np.diff(ids) != 0) | (np.diff(h) != 0) | (np.diff(key) != 0) | (np.diff(curve) != 0) | (train[1:] != train[:-1]) | (np.diff(code) != 0)
+        kept = np.flatnonzero(fresh)
+        rows = rows.take(pa.array(kept)).combine_chunks()
+        ids, curve, code, train = ids[kept], curve[kept], code[kept], train[kept]
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(curve) != 0) | (np.diff(code) != 0)]))
+        ends = np.append(starts[1:], len(ids))
+        for a, b in zip(starts, ends):
+            part, own, is_train = rows.slice(a, b - a), ids[a:b], train[a:b]
+            x = matrix(part["embedding"])
+            at = np.flatnonzero(is_train)
+            before = np.cumsum(is_train) - is_train
+            i, j, cosine = search_windows(own, x, before, np.where(is_train, before, -1), own[at], x[at], k, window)
+            none = pa.nulls(b - a, pa.struct(_edge_type()))
+            yield pa.RecordBatch.from_arrays([pa.array(own), _lists(own, i, own[at][j], cosine), none], names=names)
+            for left, near, touches in ((False, before < window, a == 0 and pid > 0), (True, before >= len(at) - window, b == len(ids) and pid < parts - 1)):
+                if touches:
+                    e = part.filter(pa.array(near))
+                    n = e.num_rows
+                    border = pa.array(np.full(n, pid if left else pid - 1, np.int32))
+                    columns = [border, pa.array(np.full(n, left)), *[e[c].combine_chunks() for c in ("dataset", "curve", "train", "vec_id", "embedding")]]
+                    edge = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _edge_type())], fields=_edge_type())
+                    yield pa.RecordBatch.from_arrays([e["vec_id"].combine_chunks(), pa.nulls(n, _list_type()), edge], names=names)
+
+    return run
+
+
+def _list_type() -> pa.DataType:
+    return pa.list_(pa.struct([("c", pa.int32()), ("id", pa.int64())]))
+
+
+def _edge_type() -> list[pa.Field]:
+    return [pa.field("border", pa.int32()), pa.field("left", pa.bool_()), pa.field("dataset", pa.string()), pa.field("curve", pa.int32()), pa.field("train", pa.bool_()), pa.field("vec_id", pa.int64()), pa.field("embedding", pa.list_(pa.float32()))]
+
+
+def _across(k: int, window: int):
+    """What the rows on either side of a border find on the other side."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for left in (True, False):
+            asks, others = rows[rows["left"] == left], rows[(rows["left"] != left) & rows["train"]]
+            if len(asks) and len(others):
+                x, y = (unit(np.stack(r["embedding"].to_numpy())) for r in (asks, others))
+                ids, others_ids = asks["vec_id"].to_numpy(), others["vec_id"].to_numpy()
+                i, j, cosine = search_windows(ids, x, np.zeros(len(ids), np.int64), np.full(len(ids), -1), others_ids, y, k, len(others))
+                pairs = [[] for _ in ids]
+                for at, c, other in zip(i, -np.round(cosine * 1e6).astype(int), others_ids[j]):
+                    pairs[at].append({"c": int(c), "id": int(other)})
+                out.append(pd.DataFrame({"vec_id": ids, "near": pairs}))
+        return pd.concat(out) if out else pd.DataFrame({"vec_id": np.empty(0, np.int64), "near": []})
+
+    return run
+
+
+def _without_copies(rows: DataFrame, k: int, copies: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows without those whose list is that of another row, and (vec_id, like) of these, or None if there are none.
+
+    Of more than `copies` equal vectors of a dataset the k + 1 train rows of the smallest ids are left (or other rows,
+    where it has fewer): no further one can be among the k nearest of anything, and each has the same list as the last
+    of these. Positions within the groups are exact prefix sums, so a group may hold any share of all rows.
     """
-    n = len(x)
-    rows, targets = np.flatnonzero(asks), np.flatnonzero(train)
-    q, t, s, limit = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32), np.full(n, -np.inf, np.float32)
-    if not len(targets) or not len(rows):
-        return q, t
-    for curve in range(curves if len(targets) > 2 * window else 1):
-        keys = curve_keys(x, 100 + curve)
-        tt = targets[np.argsort(keys[targets], kind="stable")]
-        qq = rows[np.argsort(keys[rows], kind="stable")]
-        at = np.searchsorted(keys[tt], keys[qq])
-        found = [(q, t, s)]
-        xt = x[tt]
-        for a in range(0, len(qq), block):
-            some = qq[a : a + block]
-            low, high = max(0, at[a] - window), min(len(tt), at[min(a + block, len(qq)) - 1] + window)
-            if len(targets) <= 2 * window:
-                low, high = 0, len(tt)
-            cosines = x[some] @ xt[low:high].T
-            bar = limit[some]
-            fresh = np.isneginf(bar)
-            if fresh.any() and high - low > keep:
-                top = -np.partition(-cosines[fresh], keep - 1, axis=1)[:, keep - 1]
-                bar[fresh] = top - np.float32(SLACK)
-            i, j = np.nonzero(cosines >= bar[:, None])
-            found.append((some[i], tt[low + j], cosines[i, j]))
-        q, t, s, limit = _best(*map(np.concatenate, zip(*found)), n, keep)
-    return q, t
-
-
-def _nearest(rows: pd.DataFrame, k: int, window: int, curves: int) -> pd.DataFrame:
-    """(vec_id, neighbour, cosine) of the rows that are not halo."""
-    rows = rows.sort_values("halo", kind="stable").drop_duplicates("vec_id")
-    ids, train, asks = rows["vec_id"].to_numpy(), (rows["part"] == "train").to_numpy(), ~rows["halo"].to_numpy(bool)
-    raw = stack(rows["embedding"])
-    # equal vectors are searched once; of their train rows the k + 1 smallest ids can be neighbours
-    _, first, same = np.unique(np.ascontiguousarray(raw).view(f"V{raw.itemsize * raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    exact = unit(raw[first])
-    m = len(first)
-    has_train, has_ask = np.zeros(m, bool), np.zeros(m, bool)
-    has_train[same[train]], has_ask[same[asks]] = True, True
-    q, t = search_cell(exact.astype(np.float32), has_train, has_ask, k + 1, window, curves)
-    cosine = pair_cosines(exact, q, exact, t)
-    # train rows by group of equals, ids ascending, k + 1 a group
-    tr = np.flatnonzero(train)
-    tr = tr[np.lexsort((ids[tr], same[tr]))]
-    group = same[tr]
-    start = np.searchsorted(group, np.arange(m))
-    size = np.minimum(np.bincount(group, minlength=m), k + 1)
-    # the queries of each group of equals
-    ask = np.flatnonzero(asks)
-    ask = ask[np.argsort(same[ask], kind="stable")]
-    ask_start, ask_size = np.searchsorted(same[ask], np.arange(m)), np.bincount(same[ask], minlength=m)
-
-    def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        back = np.repeat(np.arange(len(lengths)), lengths)
-        return back, np.arange(len(back)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-    # a group's own list is cut to what any of its queries can use, then each query takes its own
-    back, step = spread(size[t])
-    gq, gt, gc = q[back], ids[tr[start[t[back]] + step]], cosine[back]
-    by = np.lexsort((gt, -gc, gq))
-    gq, gt, gc = gq[by], gt[by], gc[by]
-    begin = np.searchsorted(gq, np.arange(m))
-    use = np.arange(len(gq)) - begin[gq] <= k
-    gq, gt, gc = gq[use], gt[use], gc[use]
-    back, step = spread(ask_size[gq])
-    vec, other, cos = ids[ask[ask_start[gq[back]] + step]], gt[back], gc[back]
-    by = np.lexsort((other, -cos, vec))
-    vec, other, cos = vec[by], other[by], cos[by]
-    real = vec != other
-    vec, other, cos = vec[real], other[real], cos[real]
-    begin = np.flatnonzero(np.concatenate([[True], vec[1:] != vec[:-1]])) if len(vec) else np.empty(0, np.int64)
-    rank = np.arange(len(vec)) - np.repeat(begin, np.diff(np.append(begin, len(vec))))
-    use = rank < k
-    return pd.DataFrame({"vec_id": vec[use], "neighbour": other[use], "cosine": cos[use]})
-
-
-def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, cell: int = CELL, halo: int = HALO, window: int = WINDOW, curves: int = LOCAL_CURVES, cutting: int = CUTTING_CURVES) -> DataFrame:
+    same = ["dataset", "h", "h2"]
+    many = rows.groupBy(*same).agg(F.count("*").alias("__n")).filter(F.col("__n") > copies).drop("__n")
+    if many.isEmpty():
+        return rows, None
+    members = rows.select(*same, "train", "vec_id").join(many, same).distinct()
+    placed = materialize(positions(members, same, [F.col("train").desc(), F.col("vec_id").asc()], "__place"))
+    last = placed.filter(F.col("__place") == k + 1).select(*same, F.col("vec_id").alias("like"))
+    extra = placed.filter(F.col("__place") > k + 1)
+    like = salted_join(extra, last, same, F.col("vec_id")).select("vec_id", "like")
+    return rows.join(extra.select("vec_id").distinct(), "vec_id", "left_anti"), like
+
+
+def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, window: int = WINDOW, density: float = DENSITY, cell: int = CELL, copies: int = COPIES) -> DataFrame:
     """(vec_id, neighbour, cosine): for every usable vector of any part the k train vectors of its dataset with the
     highest cosine (in double, rounded to six decimals), itself excepted, the smaller vec_id first if equal.
 
     Method: a Hilbert curve through a random projection of the vectors with a random shift of the grid puts similar
-    vectors near each other; several such curves make up for what each tears apart. Datasets of more than `cell` train
-    rows are range-partitioned in Spark along `cutting` curves or more (cuts_of) into cells of that many train rows, to
-    which `halo` train rows of either neighbouring cell are added, and each query is compared with its whole cells;
-    smaller ones are one cell. In that each query is compared with the `window` train rows before and after it on each
-    of `curves` further curves, and what is found is merged and ranked by exact cosines; results of a vector's cells are
-    merged likewise. No task holds more than a cell. Datasets of up to 2 * window train rows come out exact. Equal
-    vectors are searched once.
-
-    Rows of one vec_id count once. Fewer than k neighbours come out where a dataset has no more. Nulls: see
-    vectors.usable. Empty inputs give no rows. Other columns are ignored.
+    vectors near each other; several such curves make up for what each tears apart. All rows are range-partitioned by
+    Spark along all curves of their dataset (curves_of) into partitions of about `cell` rows. There each row is compared
+    with at least the `window` train rows before and after it; the rows next to the border of two partitions meet those on the
+    other side in a second, small pass, so that no window ends where a partition does (it reaches no further than the next
+    one). The lists of a row from its curves are merged. The cosines are exact; recall is
+    that of the windows. Datasets whose train rows all lie within one window come out exact. The work grows with the
+    power 1.5 of a dataset's size, no task holds more than a partition and its neighbours' edges.
+
+    Rows of one vec_id count once. Large groups of equal vectors are searched through k + 1 of them. Fewer than k
+    neighbours come out where a dataset has no more. Nulls: see vectors.usable. Empty inputs give no rows. Other columns
+    are ignored.
     """
-    counts = vectors.filter((F.col("part") == "train") & F.col("embedding").isNotNull()).groupBy("dataset").agg(F.count("*").alias("__t"))
-    rows = usable(vectors, dataset_info).filter(F.col("part").isNotNull()).join(counts, "dataset").withColumn("__big", F.col("__t") > cell)
-    columns = ["dataset", "curve", "cell", "halo", "part", "vec_id", "embedding"]
-    small = rows.filter(~F.col("__big")).withColumns({"curve": F.lit(0), "cell": F.lit(0).cast("bigint"), "halo": F.lit(False)}).select(*columns)
-    schema = "vec_id bigint, neighbour bigint, cosine double"
-    search = lambda pdf: _nearest(pdf, k, window, curves)
-    alone = small.groupBy("dataset").applyInPandas(search, schema)
-    if counts.filter(F.col("__t") > cell).isEmpty():
-        return alone
-
-    big = rows.filter("__big").select("dataset", "part", "vec_id", "embedding", cuts_of(F.col("__t"), cell, cutting).alias("cuts"))
-    keyed_schema = T.StructType([*big.schema.fields, T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType())])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            cuts = np.asarray(whole.column("cuts"))
-            for curve in range(cuts.max(initial=0)):
-                b = whole.filter(pa.array(cuts > curve))
-                e = b.column("embedding")
-                lengths = np.asarray(e.value_lengths())
-                values, ends = np.asarray(e.flatten()), np.cumsum(lengths)
-                key = np.zeros(b.num_rows, np.int64)
-                for d in np.unique(lengths):
-                    at = np.flatnonzero(lengths == d)
-                    key[at] = curve_keys(unit(values[(ends[at] - d)[:, None] + np.arange(d)]), curve)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, curve, np.int32)), pa.array(key)], names=[*b.schema.names, "curve", "key"])
-
-    is_train = F.when(F.col("part") == "train", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    along = prefix_sums(big.mapInArrow(keys, keyed_schema), ["dataset", "curve"], [F.col("key").asc(), F.col("vec_id").asc(), F.col("part").asc()], {"__before": is_train})
-    place = F.greatest(F.col("__before") - 1, F.lit(0))
-    own, within = F.floor(place / cell), place % cell
-    train = F.col("part") == "train"
-    copies = F.filter(
-        F.array(
-            F.struct(own.alias("cell"), F.lit(False).alias("halo")),
-            F.when(train & (within < halo) & (own > 0), F.struct((own - 1).alias("cell"), F.lit(True).alias("halo"))),
-            F.when(train & (within >= cell - halo), F.struct((own + 1).alias("cell"), F.lit(True).alias("halo"))),
-        ),
-        lambda c: c.isNotNull(),
-    )
-    celled = along.withColumn("c", F.explode(copies)).select("dataset", "curve", F.col("c.cell").alias("cell"), F.col("c.halo").alias("halo"), "part", "vec_id", "embedding")
-    complete = lambda pdf: _nearest(pdf, k, cell + 2 * halo, 1)
-    lists = celled.groupBy("dataset", "curve", "cell").applyInPandas(complete, schema)
-    merged = lists.groupBy("vec_id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k).alias("n"))
-    merged = merged.select("vec_id", F.explode("n").alias("n")).select("vec_id", "n.neighbour", (-F.col("n.c")).alias("cosine"))
-    return alone.unionByName(merged)
+    used = usable(vectors, dataset_info).filter(F.col("part").isNotNull())
+    used = used.withColumns({"h": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding"), "train": F.col("part") == "train"}).drop("part")
+    used, like = _without_copies(used, k, copies)
+    present = vectors.filter(F.col("embedding").isNotNull() & F.col("part").isNotNull()).groupBy("dataset")
+    sizes = present.agg(F.count_if(F.col("part") == "train").alias("__t"), F.count("*").alias("__n"))
+    sizes = sizes.select("dataset", curves_of(F.col("__t"), window, density).alias("curves"), "__n")
+    total = sizes.agg(F.sum(F.col("curves") * F.col("__n"))).first()[0] or 0
+    along = _keyed(used.join(sizes.drop("__n"), "dataset").drop("h2"))
+    order = ["dataset", "curve", "key", "h", F.col("train").desc(), "vec_id"]
+    parts = max(1, -(-total // cell))
+    sorted_rows = along.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
+    found = materialize(sorted_rows.mapInArrow(_windows(k, window, int(parts)), f"vec_id bigint, near {LIST}, edge struct<{EDGE}>"))
+    edges = found.filter(F.col("edge").isNotNull()).select("edge.*")
+    across = edges.groupBy("border", "dataset", "curve").applyInPandas(_across(k, window), f"vec_id bigint, near {LIST}")
+    every = found.filter(F.col("near").isNotNull()).select("vec_id", "near").unionByName(across)
+    merged = every.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("all"))
+    nearest = merged.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("near"))
+    if like is not None:
+        nearest = materialize(nearest)
+        others = salted_join(like, nearest.withColumnRenamed("vec_id", "like"), ["like"], F.col("vec_id")).select("vec_id", "near")
+        nearest = nearest.unionByName(others)
+    return nearest.select("vec_id", F.explode("near").alias("n")).select("vec_id", F.col("n.id").alias("neighbour"), (F.col("n.c") / -1e6).alias("cosine"))
