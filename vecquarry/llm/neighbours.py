@@ -223,7 +223,7 @@ def _across(k: int, window: int):
                 for at, c, other in zip(i, -np.round(cosine * 1e6).astype(int), others_ids[j]):
                     pairs[at].append({"c": int(c), "id": int(other)})
                 out.append(pd.DataFrame({"vec_id": ids, "near": pairs}))
-        return pd.concat(out) if out else pd.DataFrame({"vec_id": np.empty(0, np.int64), "near": []})
+        return pd.concat(out) if out else pd.DataFrame({"vec_id": np.empty(0, np.int64), "near": np.empty(0, object)})
 
     return run
 
@@ -269,7 +269,8 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, windo
     used, like = _without_copies(used, k, copies)
     present = vectors.filter(F.col("embedding").isNotNull() & F.col("part").isNotNull()).groupBy("dataset")
     sizes = present.agg(F.count_if(F.col("part") == "train").alias("__t"), F.count("*").alias("__n"))
-    sizes = sizes.select("dataset", curves_of(F.col("__t"), window, density).alias("curves"), "__n")
+    # written, so that Spark knows its size when it picks the join
+    sizes = materialize(sizes.select("dataset", curves_of(F.col("__t"), window, density).alias("curves"), "__n"))
     total = sizes.agg(F.sum(F.col("curves") * F.col("__n"))).first()[0] or 0
     along = _keyed(used.join(sizes.drop("__n"), "dataset").drop("h2"))
     order = ["dataset", "curve", "key", "h", F.col("train").desc(), "vec_id"]
