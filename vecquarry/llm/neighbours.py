@@ -18,10 +18,9 @@ from vecquarry.session import materialize, salted_join
 
 #: Each curve runs through a grid of 2**GRID_BITS steps a side in a random projection to CURVE_DIMENSIONS.
 CURVE_DIMENSIONS, GRID_BITS = 8, 6
-#: Train rows before and after a row on a curve that are compared with it.
-WINDOW = 1024
-#: How fast the number of curves grows with a dataset: see curves_of.
-DENSITY = 2.0
+#: Train rows before and after a row on a curve that are compared with it, and how fast the number of curves grows, in
+#: a dataset of as many train rows; both grow with its size: see curves_of.
+WINDOW, DENSITY = 1024, 3.4
 #: Rows of a partition of a curve, on average.
 CELL = 32768
 #: Groups of more equal vectors than this are searched through a few of them.
@@ -31,11 +30,20 @@ SLACK = 4e-6
 LIST = "array<struct<c: int, id: bigint>>"
 
 
+def _growth(train: Column, window: int) -> Column:
+    return F.greatest(F.lit(1.0), F.pow(train / F.lit(window), F.lit(0.25)))
+
+
+def window_of(train: Column, window: int = WINDOW) -> Column:
+    return F.round(F.lit(window) * _growth(train, window)).cast("int")
+
+
 def curves_of(train: Column, window: int = WINDOW, density: float = DENSITY) -> Column:
-    """Curves for a dataset of so many train rows. A window is a smaller share of a larger dataset, so their number grows,
-    with the square root of it, which keeps recall about level. One is enough where its window holds every train row."""
-    grown = F.ceil(density * (F.sqrt(train / F.lit(window)) - 0.5)).cast("int")
-    return F.when(train <= window, F.lit(1)).otherwise(F.greatest(F.lit(2), grown))
+    """Curves for a dataset of so many train rows. A window is a smaller share of a larger dataset, so windows and the
+    number of curves both grow, each with the fourth root of it, which keeps recall about level. One curve is enough
+    where its windows hold every train row."""
+    grown = F.round(2 + density * (_growth(train, window) - 1)).cast("int")
+    return F.when(train <= window, F.lit(1)).otherwise(grown)
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -159,7 +167,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
 EDGE = "border: int, left: boolean, dataset: string, curve: int, train: boolean, vec_id: bigint, embedding: array<float>"
 
 
-def _windows(k: int, window: int, parts: int):
+def _windows(k: int, parts: int):
     """A pass over the sorted partitions of all curves: a list per row, and the rows near the partition's ends, which
     the neighbouring partitions may need."""
     names = ["vec_id", "near", "edge"]
@@ -170,20 +178,20 @@ def _windows(k: int, window: int, parts: int):
             return
         pid, rows = TaskContext.get().partitionId(), pa.Table.from_batches(held).combine_chunks()
         del held
-        ids, curve, data = np.asarray(rows["vec_id"]), np.asarray(rows["curve"]), rows["dataset"].combine_chunks().dictionary_encode()
+        ids, curve, wide, data = np.asarray(rows["vec_id"]), np.asarray(rows["curve"]), np.asarray(rows["window"]), rows["dataset"].combine_chunks().dictionary_encode()
         code = np.asarray(data.indices)
         h, key, train = np.asarray(rows["h"]), np.asarray(rows["key"]), np.asarray(rows["train"])
         fresh = np.ones(len(ids), bool)  # rows delivered again stand side by side
         fresh[1:] = (np.diff(ids) != 0) | (np.diff(h) != 0) | (np.diff(key) != 0) | (np.diff(curve) != 0) | (train[1:] != train[:-1]) | (np.diff(code) != 0)
         kept = np.flatnonzero(fresh)
         rows = rows.take(pa.array(kept)).combine_chunks()
-        ids, curve, code, train = ids[kept], curve[kept], code[kept], train[kept]
+        ids, curve, wide, code, train = ids[kept], curve[kept], wide[kept], code[kept], train[kept]
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(curve) != 0) | (np.diff(code) != 0)]))
         ends = np.append(starts[1:], len(ids))
         for a, b in zip(starts, ends):
             part, own, is_train = rows.slice(a, b - a), ids[a:b], train[a:b]
             x = matrix(part["embedding"])
-            at = np.flatnonzero(is_train)
+            at, window = np.flatnonzero(is_train), int(wide[a])
             before = np.cumsum(is_train) - is_train
             i, j, cosine = search_windows(own, x, before, np.where(is_train, before, -1), own[at], x[at], k, window)
             none = pa.nulls(b - a, pa.struct(_edge_type()))
@@ -208,7 +216,7 @@ def _edge_type() -> list[pa.Field]:
     return [pa.field("border", pa.int32()), pa.field("left", pa.bool_()), pa.field("dataset", pa.string()), pa.field("curve", pa.int32()), pa.field("train", pa.bool_()), pa.field("vec_id", pa.int64()), pa.field("embedding", pa.list_(pa.float32()))]
 
 
-def _across(k: int, window: int):
+def _across(k: int):
     """What the rows on either side of a border find on the other side."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +262,7 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, windo
     Method: a Hilbert curve through a random projection of the vectors with a random shift of the grid puts similar
     vectors near each other; several such curves make up for what each tears apart. All rows are range-partitioned by
     Spark along all curves of their dataset (curves_of) into partitions of about `cell` rows. There each row is compared
-    with at least the `window` train rows before and after it; the rows next to the border of two partitions meet those on the
+    with at least `window` train rows (more in a dataset of more than so many) before and after it; the rows next to the border of two partitions meet those on the
     other side in a second, small pass, so that no window ends where a partition does (it reaches no further than the next
     one). The lists of a row from its curves are merged. The cosines are exact; recall is
     that of the windows. Datasets whose train rows all lie within one window come out exact. The work grows with the
@@ -270,15 +278,15 @@ def neighbours(vectors: DataFrame, dataset_info: DataFrame, k: int = 5, *, windo
     present = vectors.filter(F.col("embedding").isNotNull() & F.col("part").isNotNull()).groupBy("dataset")
     sizes = present.agg(F.count_if(F.col("part") == "train").alias("__t"), F.count("*").alias("__n"))
     # written, so that Spark knows its size when it picks the join
-    sizes = materialize(sizes.select("dataset", curves_of(F.col("__t"), window, density).alias("curves"), "__n"))
+    sizes = materialize(sizes.select("dataset", curves_of(F.col("__t"), window, density).alias("curves"), window_of(F.col("__t"), window).alias("window"), "__n"))
     total = sizes.agg(F.sum(F.col("curves") * F.col("__n"))).first()[0] or 0
     along = _keyed(used.join(sizes.drop("__n"), "dataset").drop("h2"))
     order = ["dataset", "curve", "key", "h", F.col("train").desc(), "vec_id"]
     parts = max(1, -(-total // cell))
     sorted_rows = along.repartitionByRange(int(parts), *order).sortWithinPartitions(*order)
-    found = materialize(sorted_rows.mapInArrow(_windows(k, window, int(parts)), f"vec_id bigint, near {LIST}, edge struct<{EDGE}>"))
+    found = materialize(sorted_rows.mapInArrow(_windows(k, int(parts)), f"vec_id bigint, near {LIST}, edge struct<{EDGE}>"))
     edges = found.filter(F.col("edge").isNotNull()).select("edge.*")
-    across = edges.groupBy("border", "dataset", "curve").applyInPandas(_across(k, window), f"vec_id bigint, near {LIST}")
+    across = edges.groupBy("border", "dataset", "curve").applyInPandas(_across(k), f"vec_id bigint, near {LIST}")
     every = found.filter(F.col("near").isNotNull()).select("vec_id", "near").unionByName(across)
     merged = every.groupBy("vec_id").agg(F.flatten(F.collect_list("near")).alias("all"))
     nearest = merged.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("near"))
