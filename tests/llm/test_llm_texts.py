@@ -104,3 +104,31 @@ def docs_clash():
     from pyspark.sql import functions as F
 
     return F.lit(1)
+
+
+def test_statistics_of_lines():
+    common = quality.word_hashes(["the", "été", "我"])
+    text = "The ÉTÉ of  x1,y\n\n<b>camelCase</b> a.b(c) ?!\r\n我去 ok”\u200b. "
+    owner, counts, stats = quality.texts_statistics([None, "", text, " \n", "a"], common)
+    assert owner.tolist() == [2, 2, 2, 4]
+    by = [dict(zip(quality.COUNTS, c)) for c in counts.tolist()]
+    # chars, words, word_chars, common_words, symbol_chars, ends
+    assert by[0] == {"chars": 12, "words": 5, "word_chars": 10, "common_words": 2, "symbol_chars": 0, "ends": 0}
+    assert by[1] == {"chars": 17, "words": 4, "word_chars": 12, "common_words": 0, "symbol_chars": 0, "ends": 1}
+    assert by[2] == {"chars": 6, "words": 3, "word_chars": 4, "common_words": 1, "symbol_chars": 0, "ends": 1}
+    assert round(stats[1][quality.STATISTICS.index("turns")] ** 2 * 17) == 3 and stats[0][0] == 0.4
+
+
+def test_long_texts_are_worked_on_in_pieces(monkeypatch):
+    text = "\n".join(f"Line {i} has a few words, and it ends here." for i in range(400))
+    common = quality.word_hashes(["a", "it"])
+    whole = quality.texts_statistics([text, "b c", text], common)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    for a, b in zip(whole, quality.texts_statistics([text, "b c", text], common)):
+        assert a.tolist() == b.tolist()
+
+
+def test_quality_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "<br/> https://a.b/c"), (None, "Some text."), (2, "\U0001f680")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in quality.quality(docs, spark.createDataFrame([], "word string")).collect()}
+    assert {k: (r["form"], r["words"], r["junk"]) for k, r in got.items()} == {1: ("junk", 0, 1.0), 2: ("junk", 0, 1.0)}
