@@ -37,3 +37,17 @@ def test_no_group_and_no_rows(spark):
     df = spark.range(100).repartition(5)
     assert [r["position"] for r in positions(df, [], [F.col("id").asc()], partitions=6).orderBy("id").collect()] == list(range(1, 101))
     assert positions(df.filter("id < 0"), ["id"], [F.col("id").asc()]).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 9, 60])
+def test_sums_before_ties_span_partitions(spark, rows, partitions):
+    df = spark.createDataFrame(rows, "g string, v int, i int, w int").repartition(7)
+    alike = df.withColumn("v", F.when(F.col("g") == "hot", F.col("v") % 2).otherwise(F.col("v"))).withColumn("v", F.nullif("v", F.lit(1)))
+    got = prefix_sums(alike, ["g"], [F.col("v").desc_nulls_last(), F.col("i").asc()], {"n": F.lit(1).cast("bigint"), "s": F.col("w").cast("bigint")}, ties=["v"], partitions=partitions).collect()
+    assert len(got) == len(rows)
+    below = lambda v: (v is None, 0 if v is None else -v)
+    for g in {r["g"] for r in got}:
+        own = [r for r in got if r["g"] == g]
+        for r in own:
+            before = [x for x in own if below(x["v"]) < below(r["v"])]
+            assert (r["n"], r["s"]) == (len(before), sum(x["w"] for x in before))

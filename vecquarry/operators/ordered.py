@@ -46,15 +46,17 @@ def prefix_sums(
     order: list[Column],
     sums: dict[str, Column],
     *,
+    ties: list[str] | None = None,
     keep: int | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """df with a column per entry of sums: the running sum, this row included, in the row's group in the given order.
 
     group: column names, null being a group of its own. order: sort expressions, which must be total for a definite
-    result. sums: bigint or double expressions, not null. keep: drop rows after the first `keep` of each group within
-    their partition; the first entry of sums must then be the count of rows (lit(1)), and counts up to `keep` stay exact.
-    An empty df gives an empty result.
+    result. sums: bigint or double expressions, not null. ties: columns, without NaN, by which rows are alike; the order
+    must keep such rows of a group together. The sums are then those of the rows before the first one alike, as in
+    RANK. keep: drop rows after the first `keep` of each group within their partition; the first entry of sums must then
+    be the count of rows (lit(1)), without ties, and counts up to `keep` stay exact. An empty df gives an empty result.
     """
     names = list(sums)
     weighted = df.withColumns({f"__w{i}": sums[n] for i, n in enumerate(names)})
@@ -62,62 +64,85 @@ def prefix_sums(
     ranged = weighted.repartitionByRange(partitions, *keys) if partitions else weighted.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys)
     kinds = [ranged.schema[f"__w{i}"].dataType for i in range(len(names))]
-    marks = T.StructType([T.StructField("__pid", T.IntegerType()), T.StructField("__seg", T.LongType()), T.StructField("__row", T.LongType())])
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds)], *marks.fields])
+    tie_names = [f"__b{i}" for i in range(len(names))] if ties else []
+    alike = [*group, *(ties or [])]
+    marks = T.StructType([T.StructField("__pid", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("__seg", "__run", "__row")]])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip([*names, *tie_names], kinds * 2)], *marks.fields])
     columns = df.columns
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        last, seg, row, carry = None, 0, 0, [0] * len(names)
+        last, last_alike, seg, run_no, row = None, None, 0, 0, 0
+        carry, carry_before = [0] * len(names), [0] * len(names)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            brk = group_breaks(batch, group)
-            first = tuple(batch.column(g)[0].as_py() for g in group)
+            key = lambda cols, at: tuple(batch.column(c)[at].as_py() for c in cols)  # noqa: B023, E731
+            starts = np.flatnonzero(np.concatenate([[True], group_breaks(batch, group)[1:]]))
+            lengths = np.diff(np.append(starts, n))
+            first = key(group, 0)
             continues = last is not None and first == last
             if last is not None and not continues:
                 seg += 1
-            starts = np.flatnonzero(np.concatenate([[True], brk[1:]]))
-            lengths = np.diff(np.append(starts, n))
             segs = seg + np.repeat(np.arange(len(starts)), lengths)
-            outs = []
+            outs, befores, runs = [], [], np.zeros(n, np.int64)
             for i in range(len(names)):
                 run = _segment_sums(batch.column(f"__w{i}").to_numpy(zero_copy_only=False), starts)
                 if continues:
                     run[: lengths[0]] += carry[i]
                 outs.append(run)
-            carry, seg, last = [o[-1] for o in outs], int(segs[-1]), tuple(batch.column(g)[n - 1].as_py() for g in group)
+            if ties:
+                tie_starts = np.flatnonzero(np.concatenate([[True], group_breaks(batch, alike)[1:]]))
+                tie_lengths = np.diff(np.append(tie_starts, n))
+                same = last_alike is not None and key(alike, 0) == last_alike
+                if last_alike is not None and not same:
+                    run_no += 1
+                runs = run_no + np.repeat(np.arange(len(tie_starts)), tie_lengths)
+                for i in range(len(names)):
+                    before = outs[i][tie_starts] - batch.column(f"__w{i}").to_numpy(zero_copy_only=False)[tie_starts]
+                    if same:
+                        before[0] = carry_before[i]
+                    befores.append(np.repeat(before, tie_lengths))
+                carry_before, run_no, last_alike = [o[-1] for o in befores], int(runs[-1]), key(alike, n - 1)
+            carry, seg, last = [o[-1] for o in outs], int(segs[-1]), key(group, n - 1)
             rows = np.arange(row, row + n)
             row += n
             out = pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], *[pa.array(o) for o in outs], pa.array(np.full(n, pid, np.int32)), pa.array(segs.astype(np.int64)), pa.array(rows.astype(np.int64))],
-                names=[*columns, *names, "__pid", "__seg", "__row"],
+                [*[batch.column(c) for c in columns], *[pa.array(o) for o in [*outs, *befores]], pa.array(np.full(n, pid, np.int32)), *[pa.array(x.astype(np.int64)) for x in (segs, runs, rows)]],
+                names=schema.names,
             )
             yield out.filter(pa.array(outs[0] <= keep)) if keep is not None else out
 
     done = materialize(ranged.mapInArrow(local, schema))
-    tail = F.struct(F.lit(0), *[F.col(g).alias(f"g{i}") for i, g in enumerate(group)])
-    ends = (
-        done.groupBy("__pid")
-        .agg(F.min_by(tail, "__row").alias("head"), F.max_by(tail, "__row").alias("tail"), F.max_by(F.struct("__seg", *names), "__row").alias("end"))
-        .orderBy("__pid")
-        .collect()  # one row per partition
-    )
+    tail = F.struct(F.lit(0), *[F.col(g).alias(f"g{i}") for i, g in enumerate(alike)])
+    end = F.struct("__seg", "__run", F.struct(F.lit(0), *names).alias("sums"), F.struct(F.lit(0), *tie_names).alias("befores"))
+    first_before = F.min_by(F.struct(F.lit(0), *tie_names), "__row").alias("first")
+    ends = done.groupBy("__pid").agg(F.min_by(tail, "__row").alias("head"), first_before, F.max_by(tail, "__row").alias("tail"), F.max_by(end, "__row").alias("end")).orderBy("__pid").collect()  # one row per partition
     offsets, before = [], None
     for r in ends:
-        off = before[1] if before and before[0] == tuple(r["head"]) else [0] * len(names)
-        if any(off):
-            offsets.append((r["__pid"], *off))
-        end = list(r["end"])[1:]
-        before = (tuple(r["tail"]), [a + b for a, b in zip(off, end)] if r["end"]["__seg"] == 0 else end)
+        head, last_key, width = tuple(r["head"])[1:], tuple(r["tail"])[1:], len(group)
+        sums_here, befores_here = list(r["end"]["sums"])[1:], list(r["end"]["befores"])[1:]
+        off = before[1] if before and before[0][:width] == head[:width] else [0] * len(names)
+        goes_on = bool(ties) and before is not None and before[0] == head
+        at_head = before[2] if goes_on else [a + b for a, b in zip(off, list(r["first"])[1:])]
+        if any(off) or goes_on:
+            offsets.append((r["__pid"], *off, *([at_head[i] for i in range(len(names))] if ties else [])))
+        add = off if r["end"]["__seg"] == 0 else [0] * len(names)
+        at_tail = at_head if r["end"]["__run"] == 0 else [a + b for a, b in zip(add, befores_here)]
+        before = (last_key, [a + b for a, b in zip(add, sums_here)], at_tail)
     if offsets:
-        fields = [T.StructField("__pid", T.IntegerType()), *[T.StructField(f"__o{i}", k) for i, k in enumerate(kinds)]]
+        fields = [T.StructField("__pid", T.IntegerType()), *[T.StructField(f"__o{i}", k) for i, k in enumerate(kinds)], *[T.StructField(f"__h{i}", k) for i, k in enumerate(kinds) if ties]]
         small = done.sparkSession.createDataFrame(offsets, T.StructType(fields))
         done = done.join(F.broadcast(small), "__pid", "left")  # at most one row per partition
         first = F.col("__seg") == 0
-        done = done.withColumns({n: F.col(n) + F.when(first, F.coalesce(f"__o{i}", F.lit(0))).otherwise(F.lit(0)).cast(kinds[i]) for i, n in enumerate(names)})
-    return done.select(*columns, *names)
+        shift = [F.when(first, F.coalesce(f"__o{i}", F.lit(0))).otherwise(F.lit(0)).cast(k) for i, k in enumerate(kinds)]
+        if ties:
+            moved = {b: F.when((F.col("__run") == 0) & F.col(f"__h{i}").isNotNull(), F.col(f"__h{i}")).otherwise(F.col(b) + shift[i]) for i, b in enumerate(tie_names)}
+        else:
+            moved = {n: F.col(n) + shift[i] for i, n in enumerate(names)}
+        done = done.withColumns(moved)
+    return done.select(*columns, *([F.col(b).alias(n) for n, b in zip(names, tie_names)] if ties else names))
 
 
 def positions(df: DataFrame, group: list[str], order: list[Column], name: str = "position", **how) -> DataFrame:
