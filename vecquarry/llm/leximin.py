@@ -17,8 +17,9 @@ def leximin(df: DataFrame, group: list[str], scores: dict[str, int], ties: list[
 
     Method: each score becomes a percentile within the group; a row's own percentiles are sorted ascending, and rows are
     compared by these vectors lexicographically, the higher first: the weakest score decides before any other is looked
-    at. Equal vectors fall by `ties`, ascending. Percentiles come from prefix sums over distinct values, so that equal
-    values weigh alike and groups of any size spread over all tasks.
+    at. Equal vectors fall by `ties`, ascending. The rows strictly better in a score are counted by running sums over the
+    rows in the order of that score, up to the first row alike, so that groups of any size, and any number of equal
+    values, spread over all tasks.
 
     group, ties: columns of df; null group keys make no group and leave no rows. scores: column -> 1 if more is better, -1 if less is. A score that
     is null or NaN counts as worse than any number (all such alike); infinities are ordinary values. Repeated rows are
@@ -37,15 +38,9 @@ def leximin(df: DataFrame, group: list[str], scores: dict[str, int], ties: list[
     keys = [f"__g{i}" for i in range(len(group))]
     long = rows.select("__rid", *[F.col(g).alias(k) for g, k in zip(group, keys)], F.explode(F.array(*goods)).alias("x"))
     long = long.select("__rid", *keys, F.col("x.s").alias("__s"), F.col("x.v").isNull().alias("__none"), F.coalesce("x.v", F.lit(0.0)).alias("__v"))
-    value = ["__s", "__none", "__v"]
-    counts = long.groupBy(*keys, *value).agg(F.count("*").alias("__c"))
-    upto = prefix_sums(counts, [*keys, "__s"], [F.col("__none").asc(), F.col("__v").desc()], {"__upto": F.col("__c")})
-    better = upto.select(*keys, *value, (F.col("__upto") - F.col("__c")).alias("__b"))
-    per_row = (
-        salted_join(long, better, [*keys, *value], F.col("__rid"))
-        .groupBy("__rid")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__b"))), lambda x: x["__b"]).alias("better"))
-    )
+    order = [F.col("__none").asc(), F.col("__v").desc(), F.col("__rid").asc()]
+    ranked = prefix_sums(long, [*keys, "__s"], order, {"__b": F.lit(1).cast("bigint")}, ties=["__none", "__v"])
+    per_row = ranked.groupBy("__rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__b"))), lambda x: x["__b"]).alias("better"))
     sizes = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(F.count("*").alias("n"))
     sized = salted_join(rows.withColumns(dict(zip(keys, map(F.col, group)))), sizes, keys, F.col("__rid")).drop(*keys)
     vector = F.sort_array("better", asc=False)
