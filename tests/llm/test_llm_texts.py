@@ -13,14 +13,29 @@ def docs(spark):
     return spark.createDataFrame([(i, t, "clash", [1]) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, words string, ids array<int>").repartition(3)
 
 
-@pytest.mark.parametrize("chunk", [2000, 3])
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
 def test_ids(docs, chunk):
     t = tokenizers.Tokenizer.from_file(os.path.join(tokens.FOLDER, "byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode(docs, chunk_docs=chunk).collect()}
+    got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode(docs, chunk=chunk).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(TEXTS)}
 
 
+def test_words_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    rng = random.Random(1)
+    letters = ["a", "s", "t", "re", "ve", "ll", "m", "d", "'", "'", " ", " ", "\n", "\u00a0", "1", "½", ".", "!", "é", "日", "x" * 70]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    words, codes, ends = tokens.distinct_words(texts)
+    assert len(set(words)) == len(words)
+    want = [regex.findall(tokens.PATTERN, t) for t in texts]
+    starts = [0, *ends[:-1]]
+    assert [[words[c] for c in codes[a:b]] for a, b in zip(starts, ends)] == want
+
+
 def test_round_trip_repeats_and_empty(spark, docs):
     assert {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(docs)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     twice = tokens.encode(docs.unionAll(docs)).filter("doc_id = 4").collect()

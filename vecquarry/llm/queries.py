@@ -68,8 +68,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
-    docs = table(spark, d, "documents")
-    counted = docs.select("doc_id", "source").join(tokens.token_counts(docs), "doc_id")
+    counted = tokens.token_counts(table(spark, d, "documents"), keep=["source"])
     return mixing.mix(counted, table(spark, d, "mix_targets"))
 
 
