@@ -55,7 +55,7 @@ def prefix_sums(
     group: column names, null being a group of its own. order: sort expressions, which must be total for a definite
     result. sums: bigint or double expressions, not null. ties: columns, without NaN, by which rows are alike; the order
     must keep such rows of a group together. The sums are then those of the rows before the first one alike, as in
-    RANK. keep: drop rows after the first `keep` of each group within their partition; the first entry of sums must then
+    RANK. keep: drop rows after the first `keep` of each group within their partition, but for its last row; the first entry of sums must then
     be the count of rows (lit(1)), without ties, and counts up to `keep` stay exact. An empty df gives an empty result.
     """
     names = list(sums)
@@ -66,13 +66,13 @@ def prefix_sums(
     kinds = [ranged.schema[f"__w{i}"].dataType for i in range(len(names))]
     tie_names = [f"__b{i}" for i in range(len(names))] if ties else []
     alike = [*group, *(ties or [])]
-    marks = T.StructType([T.StructField("__pid", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("__seg", "__run", "__row")]])
+    marks = T.StructType([T.StructField("__pid", T.IntegerType()), *[T.StructField(n, T.LongType()) for n in ("__seg", "__run")], T.StructField("__edge", T.IntegerType())])
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, k) for n, k in zip([*names, *tie_names], kinds * 2)], *marks.fields])
     columns = df.columns
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
-        last, last_alike, seg, run_no, row = None, None, 0, 0, 0
+        last, last_alike, seg, run_no, held = None, None, 0, 0, None
         carry, carry_before = [0] * len(names), [0] * len(names)
         for batch in batches:
             n = batch.num_rows
@@ -106,30 +106,39 @@ def prefix_sums(
                     befores.append(np.repeat(before, tie_lengths))
                 carry_before, run_no, last_alike = [o[-1] for o in befores], int(runs[-1]), key(alike, n - 1)
             carry, seg, last = [o[-1] for o in outs], int(segs[-1]), key(group, n - 1)
-            rows = np.arange(row, row + n)
-            row += n
-            out = pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], *[pa.array(o) for o in [*outs, *befores]], pa.array(np.full(n, pid, np.int32)), *[pa.array(x.astype(np.int64)) for x in (segs, runs, rows)]],
-                names=schema.names,
-            )
-            yield out.filter(pa.array(outs[0] <= keep)) if keep is not None else out
+            edge = np.zeros(n, np.int32)  # 1: the first row of the partition, 2: the last, 3: both
+            if held is None:
+                edge[0] = 1
+            else:
+                yield finish(*held, False)
+            held = ([*[batch.column(c) for c in columns], *[pa.array(o) for o in [*outs, *befores]], pa.array(np.full(n, pid, np.int32)), *[pa.array(x.astype(np.int64)) for x in (segs, runs)]], edge, outs[0])
+        if held is not None:
+            yield finish(*held, True)
+
+    def finish(arrays: list[pa.Array], edge: np.ndarray, count: np.ndarray, at_end: bool) -> pa.RecordBatch:
+        edge[-1] += 2 * at_end
+        out = pa.RecordBatch.from_arrays([*arrays, pa.array(edge)], names=schema.names)
+        return out.filter(pa.array((count <= keep) | (edge > 0))) if keep is not None else out
 
     done = materialize(ranged.mapInArrow(local, schema))
-    tail = F.struct(F.lit(0), *[F.col(g).alias(f"g{i}") for i, g in enumerate(alike)])
-    end = F.struct("__seg", "__run", F.struct(F.lit(0), *names).alias("sums"), F.struct(F.lit(0), *tie_names).alias("befores"))
-    first_before = F.min_by(F.struct(F.lit(0), *tie_names), "__row").alias("first")
-    ends = done.groupBy("__pid").agg(F.min_by(tail, "__row").alias("head"), first_before, F.max_by(tail, "__row").alias("tail"), F.max_by(end, "__row").alias("end")).orderBy("__pid").collect()  # one row per partition
+    # the first and the last row of each partition
+    edges = done.filter(F.col("__edge") > 0).select("__pid", "__edge", "__seg", "__run", F.struct(F.lit(0), *alike).alias("key"), F.struct(F.lit(0), *names).alias("sums"), F.struct(F.lit(0), *tie_names).alias("befores"))
+    found: dict[int, list] = {}
+    for r in edges.collect():
+        pair = found.setdefault(r["__pid"], [None, None])
+        pair[0] = r if r["__edge"] & 1 else pair[0]
+        pair[1] = r if r["__edge"] & 2 else pair[1]
     offsets, before = [], None
-    for r in ends:
-        head, last_key, width = tuple(r["head"])[1:], tuple(r["tail"])[1:], len(group)
-        sums_here, befores_here = list(r["end"]["sums"])[1:], list(r["end"]["befores"])[1:]
+    for pid, (first, end) in sorted(found.items()):
+        head, last_key, width = tuple(first["key"])[1:], tuple(end["key"])[1:], len(group)
+        sums_here, befores_here = list(end["sums"])[1:], list(end["befores"])[1:]
         off = before[1] if before and before[0][:width] == head[:width] else [0] * len(names)
         goes_on = bool(ties) and before is not None and before[0] == head
-        at_head = before[2] if goes_on else [a + b for a, b in zip(off, list(r["first"])[1:])]
+        at_head = before[2] if goes_on else [a + b for a, b in zip(off, list(first["befores"])[1:])]
         if any(off) or goes_on:
-            offsets.append((r["__pid"], *off, *([at_head[i] for i in range(len(names))] if ties else [])))
-        add = off if r["end"]["__seg"] == 0 else [0] * len(names)
-        at_tail = at_head if r["end"]["__run"] == 0 else [a + b for a, b in zip(add, befores_here)]
+            offsets.append((pid, *off, *([at_head[i] for i in range(len(names))] if ties else [])))
+        add = off if end["__seg"] == 0 else [0] * len(names)
+        at_tail = at_head if end["__run"] == 0 else [a + b for a, b in zip(add, befores_here)]
         before = (last_key, [a + b for a, b in zip(add, sums_here)], at_tail)
     if offsets:
         fields = [T.StructField("__pid", T.IntegerType()), *[T.StructField(f"__o{i}", k) for i, k in enumerate(kinds)], *[T.StructField(f"__h{i}", k) for i, k in enumerate(kinds) if ties]]
