@@ -57,15 +57,40 @@ def test_overlaps(data, shard, block):
     assert O.overlaps(usable(v, info).limit(0)).count() == 0
 
 
-def test_index_finds_all_matches():
+def maximal(a, b, match, stride):
+    """Maximal runs of equal letters that hold a window, by looking at every letter."""
+    out, at = [], 0
+    while at < len(a):
+        end = at
+        while end < len(a) and a[end] == b[end]:
+            end += 1
+        if any(e - match >= at for e in range(match, end + 1, stride)):
+            out.append((at, end))
+        at = end + 1
+    return out
+
+
+@pytest.mark.parametrize("match,stride", [(6, 1), (8, 4), (24, 12)])
+def test_index_finds_all_maximal_matches(match, stride):
     rng = np.random.default_rng(1)
-    a, b = rng.integers(0, 2, (40, 60)).astype(np.uint8), rng.integers(0, 2, (150, 60)).astype(np.uint8)
-    b[:20] = a[:20]
-    b[np.arange(20), rng.integers(0, 60, 20)] ^= 1
-    index = O.TextIndex(b, [e - 6 for e in range(6, 61)])
-    for end in range(6, 61):
-        got = set(zip(*map(list, index.matches(a, end, 6))))
-        assert got == {(i, j) for i in range(40) for j in range(150) if (a[i, end - 6 : end] == b[j, end - 6 : end]).all()}
+    a, b = rng.integers(0, 2, (40, 70)).astype(np.uint8), rng.integers(0, 2, (150, 70)).astype(np.uint8)
+    b[:30] = a[:30]
+    for _ in range(3):
+        b[np.arange(20), rng.integers(0, 70, 20)] ^= 1
+    index = O.TextIndex.from_bytes(O.build_index(b, match, stride).to_bytes())
+    got = sorted(zip(*map(np.ndarray.tolist, O.maximal_matches(index, a, match, stride))))
+    want = [(i, j, s, e) for i in range(40) for j in range(150) for s, e in maximal(a[i], b[j], match, stride)]
+    assert got == want and len(got) > 20
+    assert not len(O.maximal_matches(index, a[:0], match, stride)[0])
+
+
+def test_spans_are_those_of_brute_force(data):
+    rows, v, info = data
+    unit_of = {r[2]: unit(np.array([r[4]], np.float32)) for r in rows}
+    for r in O.overlaps(usable(v, info), shard=50, block=70).collect():
+        a, b = (O.texts(unit_of[r[c]])[0] for c in ("train_id", "eval_id"))
+        found = maximal(a, b, O.MATCH, O.STRIDE)
+        assert (r["spans"], r["letters"]) == (len(found), sum(e - s for s, e in found))
 
 
 def true_neighbours(rows, k):
