@@ -61,6 +61,22 @@ def test_another_field_of_a_like_name_is_none(spark):
     assert changes(drift.drift(table(spark, bodies), FIELDS)) == {(20, "best_qps", "removed"), (20, "recalls", "removed")}
 
 
+def test_names_are_matched_between_versions(spark):
+    # throughput shares no word with best_qps, but takes its place again and again, with like values
+    bodies = [{("best_qps" if i // 5 % 2 else "throughput"): 100.0 + i % 7, "host": f"h{i}", **({"load": 0.01 * i} if i % 3 else {})} for i in range(80)]
+    d = drift.drift(table(spark, bodies), FIELDS)
+    assert {(c, p) for c, p in d.columns.select("column", "path").collect()} == {("best_qps", "best_qps"), ("best_qps", "throughput"), ("host", "host"), ("load", "load")}
+    assert changes(d) == {(i, "best_qps", "renamed") for i in range(5, 80, 5)}
+    first = d.unified.filter("file_id = 1").first()
+    assert first["best_qps"] == 101.0 and first["others"] == {"host": '"h1"', "load": "0.01"}
+
+
+def test_columns_keep_apart_what_stands_together():
+    files = {"a": 50, "b": 40, "c": 30, "d": 5}
+    links = [("a", "b", 9), ("b", "c", 4), ("a", "d", 1)]
+    assert drift.columns_of(files, links, {("a", "c"): 20}) == {"a": "a", "b": "a", "c": "c", "d": "a"}
+
+
 def test_names():
     for n in ("BestQPS", "best-qps", "attrs.bestQps", "qps_best", "best_queries_per_second", "BEST QPS"):
         assert drift.name_similarity("best_qps", n) == 1.0

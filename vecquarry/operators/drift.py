@@ -1,4 +1,4 @@
-"""Schemas that drift between JSON files: one consistent table, and every change of the fields asked for."""
+"""Schemas that drift between JSON files: one consistent table, and every change of its columns."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,23 @@ from vecquarry.session import materialize
 
 #: Words for units of time in names, and the seconds they stand for.
 UNITS = {"s": 1.0, "sec": 1.0, "secs": 1.0, "second": 1.0, "seconds": 1.0, "ms": 1e-3, "msec": 1e-3, "millis": 1e-3, "milliseconds": 1e-3, "us": 1e-6, "micros": 1e-6, "microseconds": 1e-6, "ns": 1e-9, "nanoseconds": 1e-9}
-#: A name that is not just another spelling is taken for a field's only if it shares at least this much of its words,
+#: A name that is not just another spelling is taken for a column's only if it shares at least this much of its words,
 NAME_LEAST = 0.5
-#: in at most this share of its files stands beside a spelling of the field,
+#: stands in at most this share of its files beside the other one,
 BESIDE_MOST = 0.1
-#: and its typical value differs by at most so many powers of ten.
+#: and its values' sketch is on the average at most so many powers of ten away.
 DECADES_MOST = 1.5
+#: Without any likeness of names, two paths must be as alike as this in types and values, and never be in one file though
+#: so many files with both were to be expected by chance.
+ALIKE_LEAST, EXPECTED_LEAST = 0.6, 20
+#: The sketch of a path's values: these quantiles of the logarithms of their absolute values.
+QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
+KINDS = ["number", "string", "boolean", "array of numbers", "array of strings"]
+#: Most pairs of names that are held on the driver when names are put together to columns.
+MOST_LINKS = 1_000_000
 
 FILE = "file_id bigint, dataset string, algorithm string, written_at timestamp_ntz"
-ENTRY = "array<struct<path: string, type: string, numbers: array<double>>>"
+ENTRY = "array<struct<path: string, type: string, numbers: array<double>, value: string>>"
 
 
 def _no_constant(name: str):
@@ -77,8 +86,8 @@ def _numbers(value) -> list[float]:
     return []
 
 
-def flatten(found: dict) -> list[tuple[str, str | None, list[float]]]:
-    """(dotted path, type, numbers) of every field that is no object."""
+def flatten(found: dict) -> list[tuple[str, str | None, list[float], str]]:
+    """(dotted path, type, numbers, JSON) of every field that is no object."""
     out, todo = [], [("", found)]
     while todo:
         prefix, level = todo.pop()
@@ -86,23 +95,30 @@ def flatten(found: dict) -> list[tuple[str, str | None, list[float]]]:
             if isinstance(value, dict):
                 todo.append((f"{prefix}{key}.", value))
             else:
-                out.append((prefix + key, type_of(value), _numbers(value)))
+                out.append((prefix + key, type_of(value), _numbers(value), json.dumps(value, ensure_ascii=False)))
     return out
 
 
 def read_files(results: DataFrame) -> DataFrame:
-    """(file_id, dataset, algorithm, written_at, entries) of every file whose body is a JSON object, each file_id once
-    (as first delivered). Null file_ids are left out; null datasets and algorithms make a series of their own."""
+    """(file_id, dataset, algorithm, written_at, paths, entries) of every file whose body is a JSON object, each file_id
+    once (as first delivered). Null file_ids are left out; null datasets and algorithms make a series of their own."""
     kept = F.struct("dataset", "algorithm", "written_at", "body")
     once = results.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min_by(kept, F.struct(F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz")), "body")).alias("f"))
+    item = [("path", pa.string()), ("type", pa.string()), ("numbers", pa.list_(pa.float64())), ("value", pa.string())]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [parse_object(b) for b in f["body"]]
-            f = f.assign(entries=[None if o is None else [{"path": p, "type": t, "numbers": n} for p, t, n in flatten(o)] for o in found])
-            yield f[[o is not None for o in found]].drop(columns="body")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parse_object(t) for t in b.column("body").to_pylist()]
+            entries = [flatten(o) for o in found if o is not None]
+            flat = [e for es in entries for e in es]
+            columns = [pa.array([e[i] for e in flat], t) for i, (_, t) in enumerate(item)]
+            ends = np.concatenate([[0], np.cumsum([len(e) for e in entries])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, [n for n, _ in item]))
+            kept = b.filter(pa.array([o is not None for o in found], pa.bool_()))
+            paths = pa.ListArray.from_arrays(pa.array(ends), columns[0])
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in kept.schema.names[:-1]], paths, lists], names=[*kept.schema.names[:-1], "paths", "entries"])
 
-    return once.select("file_id", "f.dataset", "f.algorithm", "f.written_at", "f.body").mapInPandas(run, f"{FILE}, entries {ENTRY}")
+    return once.select("file_id", "f.dataset", "f.algorithm", "f.written_at", "f.body").mapInArrow(run, f"{FILE}, paths array<string>, entries {ENTRY}")
 
 
 def words_of(name: str) -> list[str]:
@@ -183,47 +199,177 @@ def assign(gain: np.ndarray) -> list[int]:
 
 @dataclass
 class Drift:
-    #: (file_id, dataset, algorithm, written_at, one column per field): the consistent table.
+    #: (file_id, dataset, algorithm, written_at, one column per field, others): the consistent table; others holds what
+    #: is in no asked field, as JSON by the names of the columns.
     unified: DataFrame
     #: (file_id, dataset, algorithm, written_at, field, change, old, new)
     changes: DataFrame
+    #: (column, path, files, types): the names of every column, which is called by the most frequent of them.
+    columns: DataFrame
 
 
-def profile(files: DataFrame, fields: list[str]) -> DataFrame:
-    """(path, field, files, beside, size, decades, name): the paths whose names resemble a field's, with the number of
-    files they are in, those of them that also have a spelling of the field, and a sketch of their values: the
-    approximate median of log10 of the absolute values."""
-    similar = F.pandas_udf(lambda paths: pd.Series([[name_similarity(f, p) for f in fields] for p in paths]), "array<double>")
-    long = files.select("file_id", F.inline("entries")).select("file_id", "path", "numbers")
+def profile(files: DataFrame) -> DataFrame:
+    """(path, files, types, sketch) of every path: the files it is in, the share of each of KINDS among those with a type,
+    and the QUANTILES of the values' logarithms (the mean within a file), null if it has no values."""
+    long = files.select(F.inline("entries")).select("path", "type", "numbers")
     logs = F.transform(F.filter("numbers", lambda x: x != 0), lambda x: F.log10(F.abs(x)))
-    # a value sketch a path: the median over files of the mean logarithm within each
-    stats = long.select("path", (F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(logs), F.lit(0))).alias("log")).groupBy("path")
-    # written first: names are compared once a path, where the optimizer would compare them once an entry, below the aggregate
-    stats = materialize(stats.agg(F.count("*").alias("files"), F.percentile_approx("log", 0.5, 1000).alias("decades")))
-    named = stats.withColumn("s", similar("path")).select("path", "files", "decades", F.posexplode("s").alias("f", "name")).filter(F.col("name") >= NAME_LEAST)
-    named = materialize(named.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1)).drop("f"))
-    # which of a file's paths are spellings of a field: the others are counted beside them
-    at = long.select("file_id", "path").join(named.select("path", "field", "name"), "path")
-    spelled = at.filter(F.col("name") >= 1).select("file_id", "field").distinct().withColumn("spelled", F.lit(1))
-    beside = at.filter(F.col("name") < 1).join(spelled, ["file_id", "field"], "left").groupBy("path", "field").agg(F.count("spelled").alias("beside"))
-    typical = named.filter(F.col("name") >= 1).groupBy("field").agg(F.avg("decades").alias("typical"))
-    return named.join(beside, ["path", "field"], "left").join(typical, "field", "left")
+    log = F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(logs), F.lit(0))
+    typed = F.nullif(F.count("type"), F.lit(0))
+    kinds = F.array(*[F.count_if(F.col("type") == k) / typed for k in KINDS])
+    stats = long.select("path", "type", log.alias("log")).groupBy("path")
+    return stats.agg(F.count("*").alias("files"), kinds.alias("types"), F.percentile_approx("log", QUANTILES, 1000).alias("sketch"))
+
+
+def together(files: DataFrame) -> DataFrame:
+    """(a, b, both) of the pairs of paths, a < b, that are in the same file, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo = [b for b in batches if b.num_rows]
+        while todo:
+            b = todo.pop()
+            codes = b.column("paths").flatten().dictionary_encode()
+            names, row = codes.dictionary.to_pylist(), np.repeat(np.arange(b.num_rows), np.asarray(b.column("paths").value_lengths()))
+            if len(names) > 4096 and b.num_rows > 1:  # too wide for one matrix
+                todo += [b.slice(0, b.num_rows // 2), b.slice(b.num_rows // 2)]
+                continue
+            order = np.argsort(np.array(names, object))
+            rank = np.argsort(order)
+            present = np.zeros((b.num_rows, len(names)), np.float32)
+            present[row, rank[np.asarray(codes.indices)]] = 1
+            i, j = np.nonzero(np.triu(counts := present.T @ present, 1))
+            ordered = pa.array([names[k] for k in order], pa.string())
+            yield pa.RecordBatch.from_arrays([ordered.take(pa.array(i)), ordered.take(pa.array(j)), pa.array(counts[i, j].astype(np.int64))], names=["a", "b", "both"])
+
+    return files.select("paths").mapInArrow(run, "a string, b string, both bigint").groupBy("a", "b").agg(F.sum("both").alias("both"))
 
 
-def accepted(profiles: DataFrame) -> DataFrame:
-    """(path, field, gain): names that may stand for a field. A field is under one name at a time, so a name that often
-    stands beside a spelling of the field is another field; and the values must be of the usual size, given the unit."""
+def _apart(a: str, b: str) -> Column:
+    """The mean distance of two sketches in powers of ten."""
+    gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
+    return F.aggregate(gaps, F.lit(0.0), lambda x, y: x + y) / F.lit(len(QUANTILES))
+
+
+def _in_base_units(paths: DataFrame) -> DataFrame:
     scale = F.pandas_udf(lambda p: pd.Series([math.log10(unit_scale(x)) for x in p]), "double")
-    apart = F.abs(F.col("decades") + scale("path") - F.col("typical"))
+    return paths.withColumn("__u", scale("path")).withColumn("sketch", F.transform("sketch", lambda x: x + F.col("__u"))).drop("__u")
+
+
+def gains(pairs: DataFrame, profiles: DataFrame, beside: DataFrame, n_files: int) -> DataFrame:
+    """(old, new, gain) of the pairs of names that may be of one column: alike in name, types and values, hardly ever in
+    one file. Names that share nothing need the stronger evidence of ALIKE_LEAST and EXPECTED_LEAST."""
+    similar = F.pandas_udf(lambda a, b: pd.Series([max(name_similarity(x, y), name_similarity(y, x)) for x, y in zip(a, b)]), "double")
+    side = lambda c: profiles.select(F.col("path").alias(c), F.col("files").alias(f"{c}_files"), F.col("types").alias(f"{c}_types"), F.col("sketch").alias(f"{c}_sketch"))
+    known = pairs.withColumns({"a": F.least("old", "new"), "b": F.greatest("old", "new")}).join(beside, ["a", "b"], "left")
+    known = known.join(side("old"), "old").join(side("new"), "new").withColumn("name", similar("old", "new"))
+    shared = F.zip_with("old_types", "new_types", lambda x, y: F.least(x, y))
+    known = known.withColumns({"both": F.coalesce("both", F.lit(0)), "apart": _apart("old_sketch", "new_sketch"), "types": F.coalesce(F.aggregate(shared, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))})
+    values = 1 / (1 + F.coalesce("apart", F.lit(1.0)))
+    alone = F.col("both") <= F.lit(BESIDE_MOST) * F.least("old_files", "new_files")
+    near = F.coalesce(F.col("apart") <= DECADES_MOST, F.lit(True))
+    expected = F.col("old_files") * F.col("new_files") / F.lit(max(1, n_files))
+    strong = (F.col("both") == 0) & (expected >= EXPECTED_LEAST) & (F.least(values, F.col("types")) >= ALIKE_LEAST)
+    may = alone & near & ((F.col("name") >= NAME_LEAST) | strong)
+    return known.filter(may).select("old", "new", (F.col("name") + F.col("types") / 2 + values / 2).alias("gain"))
+
+
+def renames(files: DataFrame, placed: DataFrame, profiles: DataFrame, beside: DataFrame, n_files: int) -> DataFrame:
+    """(old, new, files): how often one name was put in the place of another between successive files of a series.
+
+    A version is the set of a file's paths. The paths that go and those that come from one version to the next are
+    matched one to one with the largest total gain; each two versions are matched once, however many files change so.
+    """
+    series = ["dataset", "algorithm"]
+    before = placed.select(*[F.col(c).alias(f"p_{c}") for c in [*series, "place", "paths"]])
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in series] + [F.col("place") == F.col("p_place") + 1]
+    steps = placed.join(before, same).select(F.array_sort(F.array_except("p_paths", "paths")).alias("gone"), F.array_sort(F.array_except("paths", "p_paths")).alias("come"))
+    versions = steps.filter((F.size("gone") > 0) & (F.size("come") > 0)).groupBy("gone", "come").agg(F.count("*").alias("files"))
+    versions = materialize(versions.withColumn("version", F.monotonically_increasing_id()))
+    long = versions.select("version", F.explode("gone").alias("old"), "come").select("version", "old", F.explode("come").alias("new"))
+    gain = materialize(gains(long.select("old", "new").distinct(), profiles, beside, n_files))
+
+    def pick(lists: pd.Series) -> pd.Series:
+        out = []
+        for pairs in lists:
+            olds, news = sorted({x["old"] for x in pairs}), sorted({x["new"] for x in pairs})
+            matrix = np.zeros((len(olds), len(news)))
+            for x in pairs:
+                matrix[olds.index(x["old"]), news.index(x["new"])] = x["gain"]
+            out.append([{"old": olds[i], "new": news[j]} for i, j in enumerate(assign(matrix)) if j >= 0])
+        return pd.Series(out)
+
+    chosen = long.join(gain, ["old", "new"]).groupBy("version").agg(F.collect_list(F.struct("old", "new", "gain")).alias("pairs"))
+    chosen = chosen.select("version", F.explode(F.pandas_udf(pick, "array<struct<old: string, new: string>>")("pairs")).alias("m"))
+    return chosen.join(versions.select("version", "files"), "version").groupBy("m.old", "m.new").agg(F.sum("files").alias("files"))
+
+
+def columns_of(files: dict[str, int], links: list[tuple[str, str, int]], beside: dict[tuple[str, str], int]) -> dict[str, str]:
+    """The column of every path: links (old, new, times) are taken from the most frequent on, unless they would bring
+    together two paths that are in one file more often than BESIDE_MOST. A column is called by its most frequent path."""
+    column, members = {p: p for p in files}, {p: [p] for p in files}
+    apart = lambda a, b: beside.get((min(a, b), max(a, b)), 0) > BESIDE_MOST * min(files[a], files[b])
+    for old, new, _ in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
+        a, b = column[old], column[new]
+        if a != b and not any(apart(x, y) for x in members[a] for y in members[b]):
+            keep, drop = sorted((a, b), key=lambda c: (-files[c], c))
+            members[keep] += members.pop(drop)
+            column |= dict.fromkeys(members[keep], keep)
+    return column
+
+
+def _bounded(df: DataFrame, what: str) -> list:
+    rows = df.limit(MOST_LINKS + 1).collect()
+    if len(rows) > MOST_LINKS:
+        raise ValueError(f"more than {MOST_LINKS} {what}")
+    return rows
+
+
+def find_columns(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path, column, files, types, sketch) of every path, (a, b, both) of paths in one file, and the files with their
+    places in their series. Names of the same words in another spelling are linked wherever they occur; other links are
+    the renames between versions. Names, of which there may be MOST_LINKS, are put together on the driver; files are not."""
+    spark = files.sparkSession
+    profiles = materialize(_in_base_units(profile(files)))
+    beside = materialize(together(files))
+    order = [F.col("written_at").asc_nulls_first(), F.col("file_id").asc()]
+    placed = prefix_sums(files.select("file_id", "dataset", "algorithm", "written_at", "paths"), ["dataset", "algorithm"], order, {"place": F.lit(1).cast("bigint")})
+    counts = {r["path"]: r["files"] for r in _bounded(profiles.select("path", "files"), "names")}
+    moved = [tuple(r) for r in _bounded(renames(files, placed, profiles, beside, files.count()), "renames")]
+    spelled: dict[tuple, list[str]] = {}
+    for p in counts:
+        if words_of(p.rpartition(".")[2]):
+            spelled.setdefault(tuple(sorted(words_of(p.rpartition(".")[2]))), []).append(p)
+    moved += [(same[0], p, min(counts[same[0]], counts[p])) for same in spelled.values() for p in same[1:]]
+    linked = sorted({p for a, b, _ in moved for p in (a, b)})
+    near = spark.createDataFrame([(p,) for p in linked], "p string")
+    pairs = beside.join(near.withColumnRenamed("p", "a"), "a", "left_semi").join(near.withColumnRenamed("p", "b"), "b", "left_semi")
+    column = columns_of(counts, moved, {(r["a"], r["b"]): r["both"] for r in _bounded(pairs, "pairs of names")})
+    named = spark.createDataFrame(sorted(column.items()), "path string, column string")
+    return materialize(profiles.join(named, "path")), beside, placed
+
+
+def candidates(columns: DataFrame, beside: DataFrame, fields: list[str]) -> DataFrame:
+    """(path, field, gain): names that may stand for a field asked for: its own in any spelling, all names of a column
+    one of whose names is such, and names that share NAME_LEAST of its words, hardly ever stand beside a spelling of it,
+    and have like values."""
+    similar = F.pandas_udf(lambda paths: pd.Series([[name_similarity(f, p) for f in fields] for p in paths]), "array<double>")
+    named = columns.withColumn("s", similar("path")).select("path", "column", "files", "types", "sketch", F.posexplode("s").alias("f", "name"))
+    named = materialize(named.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1)).drop("f"))
+    spelled = named.filter(F.col("name") >= 1)
+    of_column = spelled.select("column", "field").distinct().withColumn("own", F.lit(True))
+    typical = spelled.groupBy("field").agg(F.array(*[F.avg(F.col("sketch")[i]) for i in range(len(QUANTILES))]).alias("usual"), F.array(*[F.avg(F.col("types")[i]) for i in range(len(KINDS))]).alias("usual_types"))
+    either = beside.select(F.col("a").alias("path"), F.col("b").alias("other"), "both").unionAll(beside.select(F.col("b").alias("path"), F.col("a").alias("other"), "both"))
+    met = either.join(spelled.select(F.col("path").alias("other"), "field"), "other").groupBy("path", "field").agg(F.sum("both").alias("beside"))
+    known = named.join(of_column, ["column", "field"], "left").join(typical, "field", "left").join(met, ["path", "field"], "left")
+    apart = F.coalesce(_apart("sketch", "usual"), F.lit(0.0))
+    shared = F.coalesce(F.aggregate(F.zip_with("types", "usual_types", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
     alone = F.coalesce("beside", F.lit(0)) <= F.lit(BESIDE_MOST) * F.col("files")
-    near = F.coalesce(apart, F.lit(0.0)) <= DECADES_MOST
-    return profiles.filter((F.col("name") >= 1) | (alone & near)).select("path", "field", (F.col("name") + 1 / (1 + F.coalesce(apart, F.lit(0.0)))).alias("gain"))
+    may = (F.col("name") >= 1) | (alone & (apart <= DECADES_MOST) & (F.col("own").isNotNull() | (F.col("name") >= NAME_LEAST)))
+    return known.filter(may).select("path", "field", (F.col("name") + shared / 2 + 1 / (1 + apart)).alias("gain"))
 
 
-def match(files: DataFrame, fields: list[str]) -> DataFrame:
+def match(files: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
     """(file_id, dataset, algorithm, written_at, field, path, type, numbers): for every file and field the entry that
-    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the accepted names' gains."""
-    names = accepted(profile(files, fields))
+    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the gains of their names."""
     entries = files.select("file_id", F.inline("entries")).join(names, "path")
     per_file = entries.groupBy("file_id").agg(F.collect_list(F.struct("field", "path", "type", "numbers", "gain")).alias("c"))
     kind = "array<struct<field: string, path: string, type: string, numbers: array<double>>>"
@@ -257,10 +403,12 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     results: (file_id, dataset, algorithm, written_at, arrived_at, body); a series is the files of one (dataset,
     algorithm) by (written_at, file_id). fields: name -> max, min or list, what an array of values becomes in the table.
 
-    Method: each path is profiled over all files (name, sketch of values, files, company); names are compared word by
-    word; the fields and the entries of each file are matched one to one, and what matches the same field in successive
-    files under different names is a rename. Matched columns are cast to one type (numbers in text and in arrays read,
-    units in names converted).
+    Method: each path is profiled over all files (types, sketch of values, company). Between successive versions of a
+    series the paths that go and come are matched one to one by likeness of name, types and values; what is matched is
+    put together to columns. The names of a column one of which is a spelling of a field stand for that field, as do
+    names that resemble it; the fields and the entries of each file are matched one to one, and a field under different
+    names in successive files is a rename. Matched columns are cast to one type (numbers in text and in arrays read,
+    units in names converted), the others are kept as JSON under their columns' names.
 
     Changes are added, removed, renamed and retyped, against the preceding file of the series that holds a JSON object;
     the first has none. A null or empty array is a present field without a type; a type is compared with the last one
@@ -269,7 +417,9 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     tasks: places in the series are exact prefix sums, and predecessors are found by joins on places.
     """
     files = materialize(read_files(results))
-    matched = materialize(match(files, list(fields)))  # range partitioning reads it twice
+    found, beside, _ = find_columns(files)
+    names = materialize(candidates(found, beside, list(fields)))
+    matched = materialize(match(files, names, list(fields)))  # range partitioning reads it twice
     present, typed = F.col("path").isNotNull(), F.col("type").isNotNull()
     one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     rows = prefix_sums(matched, ["dataset", "algorithm", "field"], [F.col("written_at").asc_nulls_first(), F.col("file_id").asc()], {"place": F.lit(1).cast("bigint"), "present": one(present), "typed": one(typed)})
@@ -283,7 +433,7 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     had, has = F.col("p_path").isNotNull(), present
     change = F.when(~had & has, "added").when(had & ~has, "removed").when(had & has & (F.col("p_path") != F.col("path")), "renamed")
     columns = ["file_id", "dataset", "algorithm", "written_at", "field"]
-    names = named.withColumn("change", change).filter("change IS NOT NULL").select(*columns, "change", F.col("p_path").alias("old"), F.col("path").alias("new"))
+    changes = named.withColumn("change", change).filter("change IS NOT NULL").select(*columns, "change", F.col("p_path").alias("old"), F.col("path").alias("new"))
     known, keys = before(rows.filter(typed), "typed", ["place", "present", "type"])
     pairs = rows.filter(typed).join(known, keys)
     unbroken = F.col("place") - F.col("p_place") == F.col("present") - F.col("p_present")
@@ -296,4 +446,10 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
         *[F.first(c, ignorenulls=True).alias(c) for c in ("dataset", "algorithm", "written_at")],
         *[how[h](F.first(F.when(F.col("field") == f, F.col("v")), ignorenulls=True)).alias(f) for f, h in fields.items()],
     )
-    return Drift(table, names.unionByName(types))
+    entry = files.select("file_id", F.inline("entries")).join(found.select("path", "column"), "path")
+    asked = matched.filter(F.col("path").isNotNull()).select("file_id", "path")
+    rest = entry.join(asked, ["file_id", "path"], "left_anti").groupBy("file_id", "column").agg(F.min("value").alias("value"))
+    rest = rest.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "value")))).alias("others"))
+    kinds = F.filter(F.arrays_zip(F.array(*map(F.lit, KINDS)).alias("kind"), F.col("types").alias("share")), lambda x: x["share"] > 0)
+    report = found.select("column", "path", "files", F.transform(kinds, lambda x: x["kind"]).alias("types"))
+    return Drift(table.join(rest, "file_id", "left"), changes.unionByName(types), report)

@@ -47,6 +47,12 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.drift(table(spark, d, "results"), RESULT_FIELDS).unified
 
 
+@query
+def p6_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every name of every column, as put together between versions."""
+    return drift.drift(table(spark, d, "results"), RESULT_FIELDS).columns
+
+
 # Search: every row whose id is divisible by 20 asks, all rows answer
 
 
