@@ -369,32 +369,33 @@ def candidates(columns: DataFrame, beside: DataFrame, fields: list[str]) -> Data
 
 def match(files: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
     """(file_id, dataset, algorithm, written_at, field, path, type, numbers): for every file and field the entry that
-    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the gains of their names."""
-    entries = files.select("file_id", F.inline("entries")).join(names, "path")
-    per_file = entries.groupBy("file_id").agg(F.collect_list(F.struct("field", "path", "type", "numbers", "gain")).alias("c"))
-    kind = "array<struct<field: string, path: string, type: string, numbers: array<double>>>"
+    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the gains of their names, of
+    which there may be MOST_LINKS."""
+    gain: dict[str, list[tuple[int, float]]] = {}
+    for r in _bounded(names.select("path", "field", "gain"), "names of fields"):
+        gain.setdefault(r["path"], []).append((fields.index(r["field"]), r["gain"]))
+    keys, numbers = ["file_id", "dataset", "algorithm", "written_at"], ["path", "type", "numbers"]
 
-    def pick(lists: pd.Series) -> pd.Series:
-        out = []
-        for c in lists:
-            c = [] if c is None else c
-            if len({x["path"] for x in c}) == len({x["field"] for x in c}) == len(c):  # nothing to choose
-                own = {x["field"]: x for x in c}
-                out.append([{"field": f, "path": own[f]["path"], "type": own[f]["type"], "numbers": own[f]["numbers"]} if f in own else {"field": f, "path": None, "type": None, "numbers": None} for f in fields])
-                continue
-            paths = sorted({x["path"] for x in c})
-            gain = np.zeros((len(fields), len(paths)))
-            by = {}
-            for x in c:
-                gain[fields.index(x["field"]), paths.index(x["path"])] = x["gain"]
-                by[x["path"]] = x
-            to = assign(gain) if paths else [-1] * len(fields)
-            out.append([{"field": f, "path": None if j < 0 else paths[j], "type": None if j < 0 else by[paths[j]]["type"], "numbers": None if j < 0 else by[paths[j]]["numbers"]} for f, j in zip(fields, to)])
-        return pd.Series(out)
-
-    joined = files.select("file_id", "dataset", "algorithm", "written_at").join(per_file, "file_id", "left")
-    picked = joined.withColumn("m", F.pandas_udf(pick, kind)("c"))
-    return picked.select("file_id", "dataset", "algorithm", "written_at", F.inline("m"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, start = [], 0
+            for paths in b.column("paths").to_pylist():
+                some = [(i, gain[p]) for i, p in enumerate(paths) if p in gain]
+                matrix = np.zeros((len(fields), len(some)))
+                for j, (_, pairs) in enumerate(some):
+                    for f, g in pairs:
+                        matrix[f, j] = g
+                # with one field to an entry and one entry to a field there is one matching only
+                plain = (np.count_nonzero(matrix, axis=0) <= 1).all() and (np.count_nonzero(matrix, axis=1) <= 1).all()
+                chosen = ([int(np.argmax(row)) if row.any() else -1 for row in matrix] if plain else assign(matrix)) if some else [-1] * len(fields)
+                at += [None if j < 0 else start + some[j][0] for j in chosen]
+                start += len(paths)
+            entries, again = b.column("entries").flatten(), pa.array(np.repeat(np.arange(b.num_rows), len(fields)))
+            names = pa.array(fields * b.num_rows, pa.string())
+            taken = [entries.field(n).take(pa.array(at, pa.int64())) for n in numbers]
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(again) for k in keys], names, *taken], names=[*keys, "field", *numbers])
+
+    return files.select(*keys, "paths", "entries").mapInArrow(run, f"{FILE}, field string, path string, type string, numbers array<double>")
 
 
 def drift(results: DataFrame, fields: dict[str, str]) -> Drift:

@@ -189,3 +189,46 @@ ORACLE["results_round_trip"] = "SELECT 'run' || o_orderstatus AS run, o_orderkey
 ORACLE["front_points"] = f"""WITH {SUMMARY}, f AS (SELECT dataset, algorithm, qps, recall FROM s a WHERE k = 100 AND NOT EXISTS (SELECT 1 FROM s b
     WHERE b.k = 100 AND b.dataset = a.dataset AND b.algorithm = a.algorithm AND b.qps >= a.qps AND b.recall >= a.recall AND (b.qps > a.qps OR b.recall > a.recall)))
     SELECT dataset, algorithm, count(DISTINCT (qps, recall))::INT AS steps, max(qps) AS fastest, max(recall) AS best_recall FROM f GROUP BY ALL"""
+
+#: The names, read in the data, under which the three fields of result files stand.
+FIELD_NAMES = {
+    "best_qps": ["best_qps", "BestQPS", "bestQps", "qps_best", "BEST_QPS", "best-qps", "attrs.best_qps", "metrics.bestQps", "best_queries_per_second", "best qps"],
+    "best_search_time": ["best_search_time", "best-search-time", "attrs.best_search_time", "search_time_best", "timing.best_search_time", "BestSearchTime", "bestSearchTime", "best_search_seconds", "best_search_time_ms"],
+    "recalls": ["recalls", "Recalls", "metrics.recalls", "recall_per_query", "per-query-recalls", "RECALLS", "data.recalls", "recallValues", "recall_list"],
+}
+_NAMES = ", ".join(f"('{f}', '{p}', '/{p.replace('.', '/')}')" for f, paths in FIELD_NAMES.items() for p in paths)
+_KIND = "CASE WHEN {0} IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN 'number' WHEN {0} = 'VARCHAR' THEN 'string' WHEN {0} = 'BOOLEAN' THEN 'boolean' END"
+_SERIES = "PARTITION BY dataset, algorithm, field ORDER BY written_at NULLS FIRST, file_id"
+FILE_FIELDS = f"""files AS (
+    SELECT file_id, dataset, algorithm, written_at, body::JSON AS body FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY arrived_at NULLS LAST, body) AS nth FROM results WHERE file_id IS NOT NULL)
+    WHERE nth = 1 AND CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END
+), names(field, path, pointer) AS (VALUES {_NAMES}), found AS (
+    SELECT file_id, field, path, body -> pointer AS value FROM files JOIN names ON json_exists(body, pointer)
+), typed AS (
+    SELECT file_id, field, path, value, CASE WHEN json_type(value) = 'ARRAY'
+        THEN 'array of ' || nullif(array_to_string(list_sort(list_distinct(list_transform(list_filter(value::JSON[], lambda x: json_type(x) <> 'NULL'), lambda x: {_KIND.format("json_type(x)")} || 's'))), ' and '), '')
+        ELSE {_KIND.format("json_type(value)")} END AS type FROM found
+), grid AS (
+    SELECT file_id, dataset, algorithm, written_at, field, path, type, value FROM files CROSS JOIN (SELECT DISTINCT field FROM names) LEFT JOIN typed USING (file_id, field)
+)"""
+_CHANGES = f"""WITH {FILE_FIELDS}, steps AS (
+    SELECT *, row_number() OVER w AS place, lag(path) OVER w AS before, count(*) FILTER (path IS NOT NULL) OVER w AS present FROM grid WINDOW w AS ({_SERIES})
+), runs AS (SELECT *, place - present AS run FROM steps), types AS (
+    SELECT *, lag(type IGNORE NULLS) OVER (PARTITION BY dataset, algorithm, field, run, path IS NULL ORDER BY place) AS known FROM runs
+), changes AS (
+    SELECT file_id, dataset, algorithm, written_at, field, CASE WHEN before IS NULL THEN 'added' WHEN path IS NULL THEN 'removed' ELSE 'renamed' END AS change, before AS old, path AS new
+    FROM types WHERE place > 1 AND path IS DISTINCT FROM before
+    UNION ALL SELECT file_id, dataset, algorithm, written_at, field, 'retyped', known, type FROM types WHERE type <> known)"""
+ORACLE["p6_changes"] = f"{_CHANGES} SELECT * FROM changes"
+ORACLE["p6_found"] = f"{_CHANGES} SELECT file_id, field, change FROM changes"
+_PARSED = """CASE WHEN len(list_filter(parts, lambda x: try_cast(x AS DOUBLE) IS NULL)) = 0 THEN list_transform(parts, lambda x: x::DOUBLE) ELSE [] END"""
+ORACLE["p6_values"] = f"""WITH {FILE_FIELDS}, items AS (
+    SELECT file_id, field, path, unnest(CASE WHEN json_type(value) = 'ARRAY' THEN value::JSON[] ELSE [value] END) AS item, generate_subscripts(CASE WHEN json_type(value) = 'ARRAY' THEN value::JSON[] ELSE [value] END, 1) AS nth FROM found
+), split AS (
+    SELECT file_id, field, path, nth, json_type(item) AS kind, list_filter(regexp_split_to_array(regexp_replace(item ->> '$', '[,;]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS parts FROM items
+), numbers AS (
+    SELECT file_id, field, any_value(path) AS path, flatten(list({_PARSED} ORDER BY nth) FILTER (kind IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT'))) AS v FROM split GROUP BY file_id, field
+), scaled AS (SELECT file_id, field, list_transform(v, lambda x: x * CASE WHEN path LIKE '%_ms' THEN 0.001::DOUBLE ELSE 1::DOUBLE END) AS v FROM numbers)
+    SELECT file_id, dataset, algorithm, written_at, round(list_max(q.v), 6) AS best_qps, round(list_min(t.v), 12) AS best_search_time, list_transform(coalesce(r.v, CASE WHEN has.file_id IS NOT NULL THEN [] END), lambda x: round(x, 6)) AS recalls
+    FROM files LEFT JOIN (FROM scaled WHERE field = 'best_qps') q USING (file_id) LEFT JOIN (FROM scaled WHERE field = 'best_search_time') t USING (file_id) LEFT JOIN (FROM scaled WHERE field = 'recalls') r USING (file_id)
+    LEFT JOIN (SELECT file_id FROM found WHERE field = 'recalls') has USING (file_id)"""

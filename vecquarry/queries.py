@@ -47,6 +47,13 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.drift(table(spark, d, "results"), RESULT_FIELDS).unified
 
 
+@query
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """The asked fields of the consistent table, rounded."""
+    u = drift.drift(table(spark, d, "results"), RESULT_FIELDS).unified
+    return u.select("file_id", "dataset", "algorithm", "written_at", F.round("best_qps", 6).alias("best_qps"), F.round("best_search_time", 12).alias("best_search_time"), F.transform("recalls", lambda x: F.round(x, 6)).alias("recalls"))
+
+
 @query
 def p6_columns(spark: SparkSession, d: str) -> DataFrame:
     """Every name of every column, as put together between versions."""
