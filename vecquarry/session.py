@@ -51,12 +51,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, salts: int = 16, how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt: Column, salts: int | None = None, how: str = "inner") -> DataFrame:
     """Join of many rows per key (left) with one row per key (right), where one key may hold a large share of left.
 
-    Each right row is copied `salts` times, so that a hot key spreads over as many tasks. `salt` must be a
-    deterministic column of left. Null keys match nothing, as in any join.
+    Each right row is copied `salts` times, so that a hot key spreads over as many tasks: 16, or an eighth of the shuffle
+    partitions if that is more. `salt` must be a deterministic column of left. Null keys match nothing, as in any join.
     """
-    spread = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    salts = salts or max(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
