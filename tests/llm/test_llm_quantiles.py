@@ -24,6 +24,17 @@ def test_relative_rank_error(seed, shape):
         assert off <= 0.005 * (1 - p) * n + 1, (shape, p, off)  # relative to the distance from the top
 
 
+@pytest.mark.parametrize("parts,size", [(4000, 780), (2000, 1000), (300, 2500)])
+def test_errors_of_many_parts_do_not_add_up(parts, size):
+    x = np.random.default_rng(parts).lognormal(0, 2, parts * size)
+    whole = Q.RelativeSketch()
+    for p in x.reshape(parts, size):
+        whole.merge(Q.RelativeSketch().update(p))
+    x.sort()
+    for p in (0.1, 0.5, 0.9, 0.99, 0.999):
+        assert abs(np.searchsorted(x, whole.quantiles([p])[0], "right") - p * len(x)) <= 0.003 * (1 - p) * len(x) + 1
+
+
 def test_small_sketches_are_exact():
     x = np.random.default_rng(1).random(300)
     s = Q.RelativeSketch().update(x[:100]).update(x[100:])

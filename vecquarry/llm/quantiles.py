@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecquarry.operators.ordered import group_breaks
+from vecquarry.session import materialize, salted_join
 
 #: Items in a section of a compactor. The rank error at rank r of n is about 0.5 / SECTION * (n - r).
 SECTION = 128
+#: Rows of a part of a large group, about.
+PART_ROWS = 1_000_000
+
+
+def _coin(items: np.ndarray) -> int:
+    """0 or 1, by a hash of the values."""
+    mixed = (items.view(np.uint64) ^ np.arange(len(items), dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    total = int(np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(29)), initial=np.uint64(0)))
+    return (total * 0xBF58476D1CE4E5B9 >> 40) & 1
 
 
 class RelativeSketch:
@@ -24,8 +34,9 @@ class RelativeSketch:
     A level h holds items of weight 2**h. A level that is full is sorted; its upper half and a number of sections above
     the lowest, given by how often the level was compacted, are protected; of the items below every second one moves up
     a level and the rest go. High ranks are thus hardly ever compacted, and the rank error falls in proportion to the
-    distance from the top. Sketches merge level by level. Which of two neighbours goes is decided by the parity of the
-    compactions so far: the same input in the same order gives the same sketch.
+    distance from the top. Sketches merge level by level. Which of two neighbours goes is decided by a hash of the values
+    that are compacted, so that the errors of many parts do not add up, and the same input in the same order gives the
+    same sketch.
     """
 
     def __init__(self, section: int = SECTION):
@@ -44,7 +55,7 @@ class RelativeSketch:
                 protected = sections * self.section + (sections - free) * self.section
                 items = np.sort(self.levels[h])
                 low = (len(items) - protected) // 2 * 2
-                promoted = items[(state >> 1 ^ state) & 1 : low : 2]
+                promoted = items[_coin(items[:low]) : low : 2]
                 self.levels[h], self.states[h] = items[low:], state + 1
                 if h + 1 == len(self.levels):
                     self.levels.append(promoted)
@@ -190,16 +201,20 @@ def sketch_quantiles(df: DataFrame, keys: list[str], probabilities: list[float])
     return df.select(*keys, "n", "sketch").mapInArrow(run, schema)
 
 
-def measured_times(detail: DataFrame, salts: int = 16) -> DataFrame:
+def measured_times(detail: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """(dataset, algorithm, day, time) of every row of detail that counts: exact repeats once, time finite and above 0,
     dataset not null. A repeat is told by its own time, measured_at and a hash of the other columns; rows are spread by
-    (dataset, algorithm, part), a group having `salts` parts at most, so that repeats meet and large groups are split."""
+    (dataset, algorithm, part), a group having a part for every `part_rows` rows, so that repeats meet and large groups
+    are split."""
     rest = ["query_index", "k", "params", "recall", "build_time", "index_size"]
     time = F.col("time")
     nulls = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(rest)), F.lit(0))
     rows = detail.filter(F.col("dataset").isNotNull() & usable_number(time) & (time > 0)).select(
-        "dataset", "algorithm", "measured_at", "time", F.xxhash64(*rest, nulls).alias("__rest")
+        "dataset", F.coalesce("algorithm", F.lit("\0")).alias("algorithm"), "measured_at", "time", F.xxhash64(*rest, nulls).alias("__rest")
     )
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__rest", "measured_at"), F.lit(salts)).cast("int"))
+    # written, so that Spark knows its size when it picks the join
+    sizes = materialize(rows.groupBy("dataset", "algorithm").agg(F.ceil(F.count("*") / part_rows).alias("__parts")))
+    rows = salted_join(rows, sizes, ["dataset", "algorithm"], F.col("__rest"))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__rest", "measured_at"), F.col("__parts")))
     rows = rows.repartition("dataset", "algorithm", "__part").dropDuplicates(["dataset", "algorithm", "__part", "measured_at", "time", "__rest"])
-    return rows.select("dataset", "algorithm", F.to_date("measured_at").alias("day"), "time")
+    return rows.select("dataset", F.nullif("algorithm", F.lit("\0")).alias("algorithm"), F.to_date("measured_at").alias("day"), "time")
