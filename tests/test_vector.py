@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,30 @@ def test_multi_vector(spark):
     assert [(r["count"], r["start"]) for r in derive.offsets(tokens).orderBy("doc_id").collect()] == [(1, 0), (2, 1), (3, 3)]
     sketch = {r["doc_id"]: np.reshape(r["embedding"], (8, 2)) for r in derive.multi_vector_sketch(tokens).collect()}
     assert sketch[2].sum(axis=0) == pytest.approx([9.0, 3.0])
+
+
+def test_functions_are_linear_in_the_dimension(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((1000, 1024))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").coalesce(1).cache()
+    df.count()
+    for f in (V.normalize, V.layer_norm, V.l2_normalize, lambda a: V.reduce_dimension(a, 512)):
+        col = F.aggregate(f(F.col("embedding")), F.lit(0.0), lambda a, b: a + b)
+        df.limit(3).select(col).collect()
+        began = time.perf_counter()
+        df.agg(F.sum(col)).collect()
+        assert time.perf_counter() - began < 3
+
+
+def test_tiles_give_the_same_neighbours():
+    from vecquarry.functions import kernels as K
+
+    rng = np.random.default_rng(3)
+    a, b, ids = rng.integers(0, 3, (20, 4)).astype(float), rng.integers(0, 3, (300, 4)).astype(float), rng.permutation(300)
+    for metric in ("euclidean", "cosine", "ip", "hamming"):
+        x, y = K.prepare(a, metric), K.prepare(b, metric)
+        d = np.round(K.distances(x, y, metric), 6)
+        want = [sorted(range(300), key=lambda j: (np.isnan(d[i, j]), d[i, j] if d[i, j] == d[i, j] else 0, ids[j]))[:7] for i in range(20)]
+        for tile in (9, 64, 4096):
+            cols, near = K.nearest(x, y, ids, metric, 7, 6, tile)
+            assert cols.tolist() == want and np.array_equal(near, np.take_along_axis(d, cols, 1), equal_nan=True)

@@ -39,8 +39,22 @@ def top_k(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         return np.empty((len(d), 0), int), np.empty((len(d), 0))
     k = min(k, d.shape[1])
     kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    cols = np.empty((len(d), k), int)
-    for i in range(len(d)):
-        c = np.flatnonzero((d[i] <= kth[i]) | np.isnan(kth[i]))
-        cols[i] = c[np.lexsort((ids[c], d[i, c]))[:k]]
+    row, col = np.nonzero((d <= kth) | np.isnan(kth))
+    by = np.lexsort((ids[col], d[row, col], row))
+    row, col = row[by], col[by]
+    first = np.searchsorted(row, np.arange(len(d)))  # every row has at least k
+    cols = col[first[:, None] + np.arange(k)]
     return cols, np.take_along_axis(d, cols, 1)
+
+
+def nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, metric: str, k: int, digits: int, tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers of b, rounded distances) of the k nearest of each row of a, in tiles of b, so that no more than
+    len(a) * (tile + k) distances are held at once."""
+    best, near = np.empty((len(a), 0), int), np.empty((len(a), 0))
+    for at in range(0, len(b), tile):
+        d = np.round(distances(a, b[at : at + tile], metric), digits)
+        cols, found = top_k(d, ids[at : at + tile], k)
+        best, near = np.concatenate([best, cols + at], axis=1), np.concatenate([near, found], axis=1)
+        by = np.lexsort((ids[best], near), axis=1)[:, :k]  # nan sorts last
+        best, near = np.take_along_axis(best, by, 1), np.take_along_axis(near, by, 1)
+    return best, near

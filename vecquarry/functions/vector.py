@@ -6,6 +6,7 @@ Arrays are cast to double before sums; sums run left to right, so results do not
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,26 +64,39 @@ def metric(name: str):
         raise ValueError(f"unknown metric {name}; there are {', '.join(METRICS)}") from None
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often it is used, within lambdas too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _over(a: Column, size: Column, zero: Column | None = None) -> Column:
+    """a / size, element by element, size being computed once a row; zero: what a size of 0 gives."""
+    both = F.struct(_doubles(a).alias("a"), size.alias("size"))
+    divided = lambda s: F.transform(s["a"], lambda x: x / s["size"])
+    return _once(both, divided if zero is None else lambda s: F.when(s["size"] == 0, zero).otherwise(divided(s)))
+
+
 def l2_normalize(a: Column, least: float = 1e-12) -> Column:
-    return F.transform(_doubles(a), lambda x: x / F.greatest(norm(a), F.lit(least)))
+    return _over(a, F.greatest(norm(a), F.lit(least)))
 
 
 def normalize(a: Column) -> Column:
     """Length 1; a zero vector becomes the diagonal."""
     d = F.size(a)
-    return F.when(norm(a) == 0, F.array_repeat(1 / F.sqrt(d.cast("double")), d)).otherwise(F.transform(_doubles(a), lambda x: x / norm(a)))
+    return _over(a, norm(a), F.array_repeat(1 / F.sqrt(d.cast("double")), d))
 
 
 def reduce_dimension(a: Column, dim: int) -> Column:
     """The first dim components of the normalized vector, normalized again."""
-    return normalize(F.slice(normalize(a), 1, dim))
+    return _once(F.slice(normalize(a), 1, dim), normalize)
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     d = F.size(a)
-    mean = total(_doubles(a)) / d
-    spread = F.sqrt(total(F.transform(_doubles(a), lambda x: (x - mean) * (x - mean))) / d + eps)
-    return F.transform(_doubles(a), lambda x: (x - mean) / spread)
+    centred = lambda s: F.transform(s["a"], lambda x: x - s["mean"])
+    spread = lambda c: F.sqrt(dot(c, c) / F.size(c) + eps)
+    mean = F.struct(_doubles(a).alias("a"), (total(_doubles(a)) / d).alias("mean"))
+    return _once(_once(mean, centred), lambda c: _over(c, spread(c)))
 
 
 def quantize_uint8(a: Column, low: Column, high: Column) -> Column:

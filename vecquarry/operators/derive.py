@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +28,18 @@ def first_per(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(value, order).alias(value))
 
 
+def _lot(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def draw(df: DataFrame, n: int, key: str = "vec_id", seed: int = 1) -> DataFrame:
-    """Exactly n rows (or all) without replacement: the first by a hash of key and seed."""
-    return positions(df, [], [F.xxhash64(key, F.lit(seed)).asc(), F.col(key).asc()], "__place").filter(F.col("__place") <= n).drop("__place") if n > 0 else df.limit(0)
+    """Exactly n rows (or all) without replacement: the first by a hash (md5) of key and seed."""
+    return positions(df, [], [_lot(key, seed).asc(), F.col(key).asc()], "__place").filter(F.col("__place") <= n).drop("__place") if n > 0 else df.limit(0)
 
 
 def split(df: DataFrame, test: int, key: str = "vec_id", seed: int = 1) -> DataFrame:
-    """df with part: test for exactly `test` rows drawn by a hash of key and seed, train for the others."""
-    placed = positions(df, [], [F.xxhash64(key, F.lit(seed)).asc(), F.col(key).asc()], "__place")
+    """df with part: test for exactly `test` rows drawn by a hash (md5) of key and seed, train for the others."""
+    placed = positions(df, [], [_lot(key, seed).asc(), F.col(key).asc()], "__place")
     return placed.withColumn("part", F.when(F.col("__place") <= test, "test").otherwise("train")).drop("__place")
 
 
@@ -48,8 +56,21 @@ def block_sample(df: DataFrame, blocks: int, size: int, key: str = "vec_id", see
 
 def bounds(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     """One row (low, high, largest): least, greatest and greatest absolute value of each dimension."""
-    at = df.select(F.posexplode(F.col(embedding).cast("array<double>")).alias("j", "x"))
-    per = at.groupBy("j").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.max(F.abs("x")).alias("largest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten(), float).reshape(b.num_rows, -1)
+                low, high = (x.min(axis=0), x.max(axis=0)) if low is None else (np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0)))
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([low], pa.list_(pa.float64())), pa.array([high], pa.list_(pa.float64()))], names=["low", "high"])
+
+    # a row of each partition, of the dimension
+    parts = df.select(embedding).filter(F.col(embedding).isNotNull()).mapInArrow(run, "low array<double>, high array<double>")
+    at = parts.select(F.posexplode(F.arrays_zip("low", "high")).alias("j", "x"))
+    per = at.groupBy("j").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    per = per.withColumn("largest", F.greatest(F.abs("low"), F.abs("high")))
     l = F.sort_array(F.collect_list(F.struct("j", "low", "high", "largest")))  # noqa: E741
     part = lambda n: F.transform("l", lambda s: s[n]).alias(n)
     return per.agg(l.alias("l")).select(*map(part, ("low", "high", "largest")))
@@ -66,21 +87,28 @@ def quantize(df: DataFrame, kind: str, train: DataFrame | None = None, distance:
     if kind == "binary":
         if distance != "hamming":
             raise ValueError("binary needs hamming distance")
-        return df.withColumn("embedding", V.pack_bits(F.col("embedding")))
+        return compact(df.withColumn("embedding", V.pack_bits(F.col("embedding"))), kind)
     b = _with_bounds(df, train if train is not None else df)
     if kind == "uint8":
-        return b.withColumn("embedding", V.quantize_uint8(F.col("embedding"), F.col("low"), F.col("high"))).select(df.columns)
+        return compact(b.withColumn("embedding", V.quantize_uint8(F.col("embedding"), F.col("low"), F.col("high"))).select(df.columns), kind)
     if kind == "int8":
-        return b.withColumn("embedding", V.quantize_int8(F.col("embedding"), F.col("largest"))).select(df.columns)
+        return compact(b.withColumn("embedding", V.quantize_int8(F.col("embedding"), F.col("largest"))).select(df.columns), kind)
     raise ValueError(f"unknown kind {kind}")
 
 
 def point_type(train: DataFrame, test: DataFrame, embedding: str = "embedding") -> str:
-    """uint8, int8 or float, by the types of both."""
+    """uint8, int8 or float, by the types of both: see compact."""
     kinds = {train.schema[embedding].dataType.elementType.typeName(), test.schema[embedding].dataType.elementType.typeName()}
     return {("short",): "uint8", ("byte",): "int8"}.get(tuple(kinds), "float")
 
 
+def compact(df: DataFrame, kind: str, embedding: str = "embedding") -> DataFrame:
+    """df with quantized vectors in the type that holds them: bytes for int8, shorts for uint8 and packed bits, which do
+    not fit a signed byte; floats for anything else."""
+    number = {"int8": "tinyint", "uint8": "smallint", "binary": "smallint"}.get(kind, "float")
+    return df.withColumn(embedding, F.col(embedding).cast(f"array<{number}>"))
+
+
 def normalized(df: DataFrame) -> DataFrame:
     return df.withColumn("embedding", V.normalize(F.col("embedding")))
 
@@ -98,7 +126,6 @@ def multi_vector_sketch(tokens: DataFrame, bits: int = 3, seed: int = 3, sum_of:
     """(doc_id, embedding): one vector per document of many: token vectors (doc_id, tok_id, embedding) fall into
     2**bits buckets by signs along random directions, and the sums (queries) or means (documents) of the buckets are laid
     end to end, empty ones being zero."""
-    import numpy as np
     import pandas as pd
 
     def sketch(rows: pd.DataFrame) -> pd.DataFrame:

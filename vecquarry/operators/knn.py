@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquarry.functions.kernels import distances, matrix, prepare, top_k
+from vecquarry.functions.kernels import distances, matrix, nearest, prepare
 
 #: Distances are rounded to so many digits, so that order and equality do not hang on the order of sums.
 DIGITS = 6
@@ -18,7 +18,7 @@ def knn(queries: DataFrame, corpus: DataFrame, metric: str, k: int, *, chunk: in
     """(qid, rank, vec_id, distance): the k nearest rows of corpus (vec_id, embedding) to each query (qid, embedding).
 
     The stated queries meet all rows in blocks: a task holds one chunk of the corpus and one block of queries, computes
-    their distances as a matrix product and keeps k a query; the winners of all chunks are merged. Ties go to the smaller
+    their distances as matrix products of tiles and keeps k a query; the winners of all chunks are merged. Ties go to the smaller
     vec_id. Null vectors take no part; zero vectors have no cosine distance and come last with a null one.
     """
     q, c = queries.select("qid", "embedding").filter("embedding IS NOT NULL"), corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
@@ -32,8 +32,7 @@ def knn(queries: DataFrame, corpus: DataFrame, metric: str, k: int, *, chunk: in
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "vec_id": [], "distance": []})
         x, y, ids = prepare(matrix(a["embedding"]), metric), prepare(matrix(b["embedding"]), metric), b["vec_id"].to_numpy()
-        d = np.round(distances(x, y, metric), DIGITS)
-        cols, near = top_k(d, ids, k)
+        cols, near = nearest(x, y, ids, metric, k, DIGITS)
         return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), cols.shape[1]), "vec_id": ids[cols].ravel(), "distance": near.ravel()})
 
     found = left.groupBy("b", "c").cogroup(right.groupBy("rb", "rc")).applyInPandas(search, "qid bigint, vec_id bigint, distance double")
@@ -59,8 +58,12 @@ def mean_distance(queries: DataFrame, corpus: DataFrame, metric: str, *, chunk:
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "s": [], "n": []})
-        d = distances(prepare(matrix(a["embedding"]), metric), prepare(matrix(b["embedding"]), metric), metric)
-        return pd.DataFrame({"qid": a["qid"], "s": np.nansum(d, axis=1), "n": (~np.isnan(d)).sum(axis=1)})
+        x, y = prepare(matrix(a["embedding"]), metric), prepare(matrix(b["embedding"]), metric)
+        s, n = np.zeros(len(x)), np.zeros(len(x), np.int64)
+        for at in range(0, len(y), 4096):
+            d = distances(x, y[at : at + 4096], metric)
+            s, n = s + np.nansum(d, axis=1), n + (~np.isnan(d)).sum(axis=1)
+        return pd.DataFrame({"qid": a["qid"], "s": s, "n": n})
 
     parts = left.groupBy("b", "c").cogroup(right.groupBy("rb", "rc")).applyInPandas(sums, "qid bigint, s double, n bigint")
     return parts.groupBy("qid").agg(F.round(F.sum("s") / F.sum("n"), DIGITS).alias("avg_distance"))

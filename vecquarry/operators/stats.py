@@ -14,12 +14,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecquarry.operators.ordered import positions
+from vecquarry.operators.sums import tree_sum
 
 
 def moments(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     """(j, n, mean, variance) of each dimension; the variance is unbiased and not below 0, null for a single row."""
-    at = df.select(F.posexplode(F.col(embedding).cast("array<double>")).alias("j", "x"))
-    s = at.groupBy("j").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss = 0, 0.0, 0.0
+        for b in batches:
+            if b.num_rows:
+                x = _blocks(b, embedding)
+                n, s, ss = n + len(x), s + x.sum(axis=0), ss + (x * x).sum(axis=0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([v], pa.list_(pa.float64())) for v in (s, ss)]], names=["n", "s", "ss"])
+
+    # a row of each partition, of the dimension
+    parts = df.select(embedding).filter(F.col(embedding).isNotNull()).mapInArrow(run, "n bigint, s array<double>, ss array<double>")
+    at = parts.select("n", F.posexplode(F.arrays_zip("s", "ss")).alias("j", "x"))
+    s = at.groupBy("j").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     return s.select("j", "n", mean.alias("mean"), F.greatest(F.lit(0.0), (F.col("ss") - F.col("n") * mean * mean) / F.nullif(F.col("n") - 1, F.lit(0))).alias("variance"))
 
@@ -30,24 +43,21 @@ def _blocks(b: pa.RecordBatch, name: str = "embedding") -> np.ndarray:
 
 
 def covariance(df: DataFrame, ddof: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance): partial sums of x and x x' per partition, relative to one row, added on the driver."""
+    """(n, mean, covariance): partial sums of x and x x' per partition, relative to one row, added up in a tree."""
     kept = df.select("embedding").filter("embedding IS NOT NULL")
     first = kept.first()
     if first is None:
         return 0, np.empty(0), np.empty((0, 0))
     origin = np.array(first["embedding"], float)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, ss = 0, np.zeros(len(origin)), np.zeros((len(origin),) * 2)
-        for b in batches:
-            if b.num_rows:
-                x = _blocks(b) - origin
-                n, s, ss = n + len(x), s + x.sum(axis=0), ss + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())), pa.array([ss.ravel()], pa.list_(pa.float64()))], names=["n", "s", "ss"])
+    d = len(origin)
+
+    def sums(b: pa.RecordBatch) -> np.ndarray:
+        x = _blocks(b) - origin
+        return np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
 
-    rows = kept.mapInArrow(sums, "n bigint, s array<double>, ss array<double>").collect()
-    n = sum(r["n"] for r in rows)
-    s, ss = np.sum([r["s"] for r in rows], axis=0), np.sum([r["ss"] for r in rows], axis=0).reshape(len(origin), -1)
+    found = tree_sum(kept, 1 + d + d * d, sums)
+    n, s, ss = int(found[0]), found[1 : 1 + d], found[1 + d :].reshape(d, d)
     mean = s / n
     return n, origin + mean, (ss - n * np.outer(mean, mean)) / max(n - ddof, 1)
 
@@ -130,19 +140,19 @@ def mmd(a: DataFrame, b: DataFrame, bandwidth: float, scales: tuple[float, ...]
     w = np.concatenate([rng.standard_normal((d, features)) / (bandwidth * s) for s in scales], axis=1)
     shift = rng.random(w.shape[1]) * 2 * np.pi
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s, ss = 0, np.zeros(w.shape[1]), np.zeros(w.shape[1])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                z = np.sqrt(2 / features) * np.cos(_blocks(batch.slice(at, 4096)) @ w + shift)
-                n, s, ss = n + len(z), s + z.sum(axis=0), ss + (z * z).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s], pa.list_(pa.float64())), pa.array([ss], pa.list_(pa.float64()))], names=["n", "s", "ss"])
+    size = w.shape[1]
+
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros(1 + 2 * size)
+        for at in range(0, batch.num_rows, 4096):
+            z = np.sqrt(2 / features) * np.cos(_blocks(batch.slice(at, 4096)) @ w + shift)
+            total += np.concatenate([[len(z)], z.sum(axis=0), (z * z).sum(axis=0)])
+        return total
 
     def of(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rows = df.select("embedding").filter("embedding IS NOT NULL").mapInArrow(sums, "n bigint, s array<double>, ss array<double>").collect()
-        n = sum(r["n"] for r in rows)
-        mean = np.sum([r["s"] for r in rows], axis=0) / n
-        spread = (np.sum([r["ss"] for r in rows], axis=0) - n * mean**2) / max(n - 1, 1) / n
+        found = tree_sum(df.select("embedding").filter("embedding IS NOT NULL"), 1 + 2 * size, sums)
+        n, mean = found[0], found[1 : 1 + size] / found[0]
+        spread = (found[1 + size :] - n * mean**2) / max(n - 1, 1) / n
         return mean, spread
 
     (m1, v1), (m2, v2) = of(a), of(b)
