@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from vecquarry.operators import ranks, stats, tests
+from vecquarry.operators import ranks, significance, stats
 
 
 @pytest.fixture(scope="module")
@@ -45,27 +45,27 @@ def test_difficulty_bands_are_uneven(spark):
 
 def test_holm(spark):
     df = spark.createDataFrame([("d", c, p) for c, p in zip("abcd", (0.01, 0.04, 0.03, 0.9))], "dataset string, x string, p_value double")
-    got = {r["x"]: r["adjusted"] for r in tests.holm(df, ["dataset"], ["x"]).collect()}
+    got = {r["x"]: r["adjusted"] for r in significance.holm(df, ["dataset"], ["x"]).collect()}
     assert got == pytest.approx({"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.9})
-    assert all(r["adjusted"] == 1 for r in tests.holm(df.selectExpr("dataset", "x", "0.7D AS p_value"), ["dataset"], ["x"]).collect())
+    assert all(r["adjusted"] == 1 for r in significance.holm(df.selectExpr("dataset", "x", "0.7D AS p_value"), ["dataset"], ["x"]).collect())
 
 
 def test_wilcoxon(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(1, 30, 60) / 10, rng.integers(5, 34, 60) / 10
     rows = [("d", n, q, float(v)) for n, x in (("a", a), ("b", b)) for q, v in enumerate(x)]
-    r = tests.wilcoxon(spark.createDataFrame(rows, "dataset string, algorithm string, query_index bigint, time double")).first()
+    r = significance.wilcoxon(spark.createDataFrame(rows, "dataset string, algorithm string, query_index bigint, time double")).first()
     d = a - b
     d = d[d != 0]
     rank = np.array([(np.abs(d) < abs(v)).sum() + ((np.abs(d) == abs(v)).sum() + 1) / 2 for v in d])
     assert (r["n"], r["w_plus"], r["w_minus"]) == (len(d), rank[d > 0].sum(), rank[d < 0].sum()) and 0 < r["p_value"] < 0.05
-    same = tests.wilcoxon(spark.createDataFrame([("d", n, 0, 1.0) for n in "ab"], "dataset string, algorithm string, query_index bigint, time double")).first()
+    same = significance.wilcoxon(spark.createDataFrame([("d", n, 0, 1.0) for n in "ab"], "dataset string, algorithm string, query_index bigint, time double")).first()
     assert same["n"] == 0 and same["p_value"] == 1.0
 
 
 def test_cliques(spark):
     edges = [("d", *e) for e in (("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("e", "f"), ("d", "b"))]
-    got = {tuple(r["members"]) for r in tests.cliques(spark.createDataFrame(edges, "dataset string, a string, b string")).collect()}
+    got = {tuple(r["members"]) for r in significance.cliques(spark.createDataFrame(edges, "dataset string, a string, b string")).collect()}
     assert got == {("a", "b", "c"), ("b", "c", "d"), ("e", "f")}
 
 

@@ -50,7 +50,7 @@ def block_sample(df: DataFrame, blocks: int, size: int, key: str = "vec_id", see
     block = F.floor(F.col("__at") * blocks / F.lit(max(n, 1)))
     first, last = F.ceil(block * n / F.lit(blocks)), F.ceil((block + 1) * n / F.lit(blocks))
     room = F.greatest(last - first - size, F.lit(0)) + 1
-    start = first + F.pmod(F.xxhash64(block, F.lit(seed)), room)
+    start = first + F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", block.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint"), room)
     return placed.filter((F.col("__at") >= start) & (F.col("__at") < start + size)).drop("__place", "__at")
 
 

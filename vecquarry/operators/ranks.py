@@ -62,22 +62,28 @@ def difficulty_split(detail: DataFrame, stats: DataFrame, chosen: DataFrame, low
     return rows.groupBy("algorithm", "dataset").agg(mean("easy").alias("easy"), mean("difficult").alias("difficult"), F.avg("recall").alias("mean_recall"), (1 / F.avg("time")).alias("qps"))
 
 
-def performance_gap(summary: DataFrame, pairs: dict[str, tuple[str, str]], recall: float, k: int) -> DataFrame:
-    """(algorithm, pair, inside, outside): qps of the fastest configurations on the two datasets of each pair, where both exist."""
+def performance_gap(summary: DataFrame, pairs: DataFrame, recall: float, k: int) -> DataFrame:
+    """(inside_of, outside_of, algorithm, inside, outside): qps of the fastest configurations on the two datasets of each
+    pair (inside_of, outside_of), where both exist."""
     fast = fastest_at(summary, recall, k)
-    case = lambda i: F.coalesce(*[F.when(F.col("dataset") == v[i], n) for n, v in pairs.items()])
-    kind = F.when(case(0).isNotNull(), "inside").when(case(1).isNotNull(), "outside")
-    named = fast.withColumns({"pair": F.coalesce(case(0), case(1)), "kind": kind}).filter("kind IS NOT NULL")
-    return named.groupBy("algorithm", "pair").pivot("kind", ["inside", "outside"]).agg(F.first("qps")).na.drop(subset=["inside", "outside"])
+    side = lambda name: fast.select(F.col("dataset").alias(f"{name}_of"), "algorithm", F.col("qps").alias(name))
+    return pairs.join(side("inside"), "inside_of").join(side("outside"), ["outside_of", "algorithm"]).select("inside_of", "outside_of", "algorithm", "inside", "outside")
 
 
-def metric_table(summary: DataFrame, metric: str, recall: float, k: int, datasets: list[str], smaller_is_better: bool = True) -> DataFrame:
-    """(algorithm, a column per dataset, average_rank): the metric of the fastest configuration of each algorithm (ties in
-    qps by params), and its mean rank over the datasets; equal values share ranks."""
-    rows = summary.filter((F.col("k") == k) & (F.col("recall") >= recall) & F.col("qps").isNotNull() & F.col("dataset").isin(datasets))
+def metric_ranks(summary: DataFrame, metric: str, recall: float, k: int, smaller_is_better: bool = True) -> DataFrame:
+    """(algorithm, dataset, value, rank, average_rank): the metric of the fastest configuration of each algorithm on each
+    dataset (ties in qps by params), its rank there, equal values sharing ranks, and the algorithm's mean rank over all."""
+    rows = summary.filter((F.col("k") == k) & (F.col("recall") >= recall) & F.col("qps").isNotNull())
     best = rows.groupBy("dataset", "algorithm").agg(F.min_by(F.col(metric), F.struct(-F.col("qps"), F.col("params"))).alias("value"))
-    ranks = best.withColumn("rank", average_rank(["dataset"], "value", not smaller_is_better)).groupBy("algorithm").agg(F.avg("rank").alias("average_rank"))
-    return best.groupBy("algorithm").pivot("dataset", datasets).agg(F.first("value")).join(ranks, "algorithm")
+    ranked = best.withColumn("rank", average_rank(["dataset"], "value", not smaller_is_better))
+    return ranked.withColumn("average_rank", F.avg("rank").over(Window.partitionBy("algorithm")))
+
+
+def metric_table(summary: DataFrame, metric: str, recall: float, k: int, datasets: list[str], smaller_is_better: bool = True) -> DataFrame:
+    """(algorithm, a column per dataset, average_rank): metric_ranks with a column for each of the datasets named, over
+    which the ranks are taken."""
+    ranked = metric_ranks(summary.filter(F.col("dataset").isin(datasets)), metric, recall, k, smaller_is_better)
+    return ranked.groupBy("algorithm", "average_rank").pivot("dataset", datasets).agg(F.first("value"))
 
 
 def legend_order(front: DataFrame, threshold: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecquarry.operators.ranks import average_rank
+from vecquarry.session import materialize
 
 
 def mean_times(detail: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def cliques(edges: DataFrame) -> DataFrame:
     level = level.join(near.select("dataset", F.col("a").alias("b"), F.col("near").alias("nb")), ["dataset", "b"]).select("dataset", "members", F.array_intersect("na", "nb").alias("common"))
     out = None
     while True:
-        level = level.cache()
+        level = materialize(level)
         done = level.filter(F.size("common") == 0).select("dataset", F.array_sort("members").alias("members"))
         out = done if out is None else out.unionByName(done)
         if level.filter(F.size("common") > 0).isEmpty():

@@ -80,8 +80,12 @@ MOMENTS = f"{AT}, m AS (SELECT j, count(x) AS n, avg(x) AS mean, greatest(0, var
 ORACLE["dimension_moments"] = f"WITH {MOMENTS} SELECT j, n, round(mean, 9) AS mean, round(variance, 9) AS variance FROM m"
 ORACLE["mahalanobis_diagonal"] = f"WITH {MOMENTS} SELECT vec_id, round(sqrt(sum(CASE WHEN variance > 1e-12 THEN (x - mean) * (x - mean) / variance ELSE 0 END)), 6) AS distance FROM cells JOIN m USING (j) GROUP BY vec_id"
 ORACLE["covariance"] = f"WITH {AT} SELECT a.j AS i, b.j AS j, round(covar_samp(a.x, b.x), 9) AS covariance FROM cells a JOIN cells b USING (vec_id) GROUP BY a.j, b.j"
-ORACLE["train_test_split"] = "SELECT CASE WHEN r <= 50 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM (SELECT row_number() OVER () AS r FROM embeddings) GROUP BY 1"
-ORACLE["random_sample"] = "SELECT 100::BIGINT AS n, 100::BIGINT AS ids"
+ORACLE["train_test_split"] = "SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY md5(vec_id || ':1'), vec_id) <= 50 THEN 'test' ELSE 'train' END AS part FROM embeddings"
+ORACLE["random_sample"] = "SELECT vec_id FROM embeddings ORDER BY md5(vec_id || ':1'), vec_id LIMIT 100"
+ORACLE["block_sample"] = """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings), b AS (SELECT *, pos * 10 // n AS block FROM p),
+    s AS (SELECT *, ceil(block * n / 10)::BIGINT AS first, ceil((block + 1) * n / 10)::BIGINT AS last FROM b),
+    t AS (SELECT *, first + ('0x' || substr(md5(block || ':1'), 1, 8))::BIGINT % (greatest(last - first - 5, 0) + 1) AS start FROM s)
+    SELECT vec_id FROM t WHERE pos >= start AND pos < start + 5"""
 ORACLE["multi_vector_offsets"] = """WITH n AS (SELECT l_orderkey AS doc_id, count(*) AS count FROM lineitem GROUP BY 1)
     SELECT doc_id, count, (sum(count) OVER (ORDER BY doc_id) - count)::BIGINT AS start FROM n"""
 
@@ -107,20 +111,19 @@ ORACLE["difficulty_split"] = f"""WITH {SUMMARY}, {DETAIL}, u AS (SELECT * FROM d
     bands AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY rc DESC, query_index) AS r, count(*) OVER (PARTITION BY dataset) AS n FROM rc)
     SELECT algorithm, dataset, round(avg(recall) FILTER (r < 0.1::DOUBLE * n), 6) AS easy, round(avg(recall) FILTER (r >= 0.9::DOUBLE * n), 6) AS difficult, round(avg(recall), 6) AS mean_recall, round(1 / avg(time::DOUBLE), 3) AS qps
     FROM u JOIN bands USING (dataset, query_index) SEMI JOIN {fastest(0.0, 100)} f USING (dataset, algorithm, params) GROUP BY algorithm, dataset"""
-SOME = "few AS (SELECT dataset, row_number() OVER (ORDER BY dataset) - 1 AS i FROM dataset_info)"
-ORACLE["performance_gap"] = f"""WITH {SUMMARY}, {SOME}, f AS (SELECT algorithm, qps, i FROM {fastest(0.5, 100)} JOIN few USING (dataset) WHERE i < 4)
-    SELECT a.algorithm, CASE WHEN a.i = 0 THEN 'first' ELSE 'second' END AS pair, a.qps AS inside, b.qps AS outside FROM f a JOIN f b ON a.algorithm = b.algorithm AND a.i IN (0, 2) AND b.i = a.i + 1"""
-ORACLE["metric_table"] = f"""WITH {SUMMARY}, {SOME}, b AS (SELECT i, algorithm, build_time AS v FROM s JOIN few USING (dataset) WHERE i < 3 AND k = 100 AND recall >= 0.5 AND build_time > 0
-        QUALIFY row_number() OVER (PARTITION BY i, algorithm ORDER BY qps DESC, params) = 1),
-    r AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY v) + (count(*) OVER (PARTITION BY i, v) - 1) / 2 AS rank FROM b)
-    SELECT algorithm, max(v) FILTER (i = 0) AS d0, max(v) FILTER (i = 1) AS d1, max(v) FILTER (i = 2) AS d2, round(avg(rank), 9) AS average_rank FROM r GROUP BY algorithm"""
+ORACLE["performance_gap"] = f"""WITH {SUMMARY}, f AS (SELECT dataset, algorithm, qps FROM {fastest(0.5, 100)}), p AS (SELECT dataset AS inside_of, lead(dataset) OVER (PARTITION BY distance ORDER BY dataset) AS outside_of FROM dataset_info WHERE distance IS NOT NULL)
+    SELECT inside_of, outside_of, a.algorithm, a.qps AS inside, b.qps AS outside FROM p JOIN f a ON a.dataset = inside_of JOIN f b ON b.dataset = outside_of AND b.algorithm = a.algorithm"""
+ORACLE["metric_table"] = f"""WITH {SUMMARY}, b AS (SELECT dataset, algorithm, build_time AS value FROM s WHERE k = 100 AND recall >= 0.5 AND build_time > 0 QUALIFY row_number() OVER (PARTITION BY dataset, algorithm ORDER BY qps DESC, params) = 1),
+    r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY value) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2 AS rank FROM b)
+    SELECT algorithm, dataset, value, rank, round(avg(rank) OVER (PARTITION BY algorithm), 9) AS average_rank FROM r"""
 ORACLE["legend_order"] = f"""WITH {SUMMARY}, b AS (SELECT algorithm, max(qps) FILTER (recall >= 0.95) AS best FROM s WHERE k = 100 GROUP BY algorithm)
     SELECT algorithm, row_number() OVER (ORDER BY best DESC NULLS LAST, algorithm)::INT AS place FROM b"""
 ORACLE["average_rank"] = f"WITH {SUMMARY} SELECT dataset, algorithm, params, qps, rank() OVER (PARTITION BY dataset ORDER BY qps DESC) + (count(*) OVER (PARTITION BY dataset, qps) - 1) / 2 AS rank FROM s WHERE k = 100"
 ORACLE["dataset_mean_gap"] = f"WITH {SUMMARY} SELECT dataset, params, qps, qps / max(qps) OVER w AS share, round(qps / avg(qps) OVER w, 6) AS against_mean FROM s WHERE k = 100 WINDOW w AS (PARTITION BY dataset)"
 ORACLE["median_by_dataset"] = f"WITH {SUMMARY} SELECT dataset, median(qps) AS median_qps, max(recall) AS best_recall, count(*) AS n FROM s GROUP BY dataset"
 ORACLE["completeness_grid"] = f"WITH {SUMMARY} SELECT dataset, algorithm FROM (SELECT DISTINCT dataset FROM s) CROSS JOIN (SELECT DISTINCT algorithm FROM s) ANTI JOIN s USING (dataset, algorithm)"
-PAIRS = f"""{SUMMARY}, {DETAIL}, t AS (SELECT dataset, algorithm, query_index, avg(time::DOUBLE) AS time FROM d SEMI JOIN {fastest(0.0, 100)} f USING (dataset, algorithm, params) WHERE k = 100 AND time > 0 AND NOT isnan(time) GROUP BY ALL),
+PAIRS = f"""{SUMMARY}, {DETAIL}, x AS (SELECT * FROM s SEMI JOIN (FROM d WHERE time > 0 AND NOT isnan(time)) d USING (dataset, algorithm, params, k)),
+    t AS (SELECT dataset, algorithm, query_index, avg(time::DOUBLE) AS time FROM d SEMI JOIN {fastest(0.0, 100, "x")} f USING (dataset, algorithm, params) WHERE k = 100 AND time > 0 AND NOT isnan(time) GROUP BY ALL),
     pairs AS (SELECT a.dataset, a.algorithm AS a, b.algorithm AS b, a.time AS ta, b.time AS tb, a.time - b.time AS diff FROM t a JOIN t b ON a.dataset = b.dataset AND a.query_index = b.query_index AND a.algorithm < b.algorithm),
     means AS (SELECT dataset, a, b, avg(ta) AS la, avg(tb) AS lb FROM pairs GROUP BY ALL),
     ranked AS (SELECT *, rank() OVER (PARTITION BY dataset, a, b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY dataset, a, b, abs(diff)) - 1) / 2 AS r, count(*) OVER (PARTITION BY dataset, a, b, abs(diff)) AS t FROM pairs WHERE diff <> 0),
@@ -134,6 +137,10 @@ ADJUSTED = """scaled AS (SELECT *, row_number() OVER w AS i, p_value * (count(*)
     adjusted AS (SELECT dataset, algorithm_a, algorithm_b, p_value, least(1, max(p) OVER (PARTITION BY dataset ORDER BY i)) AS adjusted FROM scaled)"""
 ORACLE["holm"] = f"WITH {PAIRS}, {ADJUSTED} SELECT dataset, algorithm_a, algorithm_b, p_value, round(adjusted, 6) AS adjusted FROM adjusted"
 ORACLE["indifferent_pairs"] = f"WITH {PAIRS}, {ADJUSTED} SELECT dataset, algorithm_a AS a, algorithm_b AS b FROM adjusted WHERE adjusted >= 0.01"
+ORACLE["indifferent_groups"] = f"""WITH RECURSIVE {PAIRS}, {ADJUSTED}, e AS (SELECT dataset, algorithm_a AS a, algorithm_b AS b FROM adjusted WHERE adjusted >= 0.01),
+    near AS (SELECT dataset, b, list(a) AS smaller FROM e GROUP BY ALL), around AS (SELECT dataset, x, list(y) AS near FROM (SELECT dataset, a AS x, b AS y FROM e UNION ALL SELECT dataset, b, a FROM e) GROUP BY ALL),
+    c AS (SELECT dataset, [a, b] AS members FROM e UNION ALL SELECT c.dataset, list_append(c.members, n.b) FROM c JOIN near n ON n.dataset = c.dataset AND list_has_all(n.smaller, c.members))
+    SELECT dataset, members FROM c WHERE NOT EXISTS (SELECT 1 FROM around v WHERE v.dataset = c.dataset AND list_has_all(v.near, c.members))"""
 ORACLE["recall_density"] = f"""WITH {SUMMARY}, g AS (SELECT range / 50.0::DOUBLE AS x FROM range(0, 51))
     SELECT dataset, round(x, 6) AS x, round(avg(exp(-(x - recall) * (x - recall) / (2 * 0.05::DOUBLE * 0.05::DOUBLE))) / (0.05::DOUBLE * sqrt(2 * pi())), 6) AS density FROM s, g GROUP BY ALL"""
 
@@ -150,7 +157,8 @@ ORACLE["parameter_slugs"] = r"SELECT params, slug, sha256(slug) AS marker FROM (
 ORACLE["distinct_texts"] = "SELECT min(doc_id) AS doc_id, arg_min(coalesce(source, ''), doc_id) AS source FROM documents WHERE text IS NOT NULL GROUP BY text"
 ORACLE["joined_texts"] = "SELECT doc_id, trim(concat_ws(' ', source, lang, dataset)) AS text FROM documents"
 ORACLE["first_text"] = "SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY created_at NULLS FIRST, doc_id) = 1"
-ORACLE["encoded_texts"] = """SELECT part, n, 64 AS dimension FROM (SELECT 'test' AS part, 100::BIGINT AS n UNION ALL SELECT 'train', count(DISTINCT text) - 100 FROM documents)"""
+ORACLE["encoded_texts"] = """SELECT doc_id AS vec_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) <= 100 THEN 'test' ELSE 'train' END AS part, 64 AS dimension
+    FROM (SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text)"""
 
 ORACLE["pricing_summary"] = """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS gross,
     round(avg(l_discount), 2) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"""
@@ -159,7 +167,7 @@ ORACLE["nation_revenue"] = """SELECT r_name, n_name, round(sum(l_extendedprice *
 BEATEN = "FROM lineitem a WHERE {} EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_quantity >= a.l_quantity AND b.l_discount >= a.l_discount AND (b.l_quantity > a.l_quantity OR b.l_discount > a.l_discount))"
 ORACLE["dominated_lines"] = "SELECT DISTINCT l_orderkey, l_linenumber " + BEATEN.format("")
 ORACLE["front_lines"] = "SELECT l_orderkey, l_linenumber " + BEATEN.format("NOT")
-ORACLE["customers_without_orders"] = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+ORACLE["customers_without_urgent_orders"] = "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
 ORACLE["customers_with_orders"] = "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
 ORACLE["orders_per_customer"] = "SELECT c_custkey, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
 ORACLE["nation_pairs"] = "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name"
@@ -172,7 +180,7 @@ ORACLE["running_maximum"] = "SELECT o_orderkey, max(o_totalprice) OVER (PARTITIO
 ORACLE["order_positions"] = "SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders"
 ORACLE["quantity_bands"] = "SELECT CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity >= 40 THEN 'large' END AS band, count(*) AS n, round(sum(ln(l_extendedprice)), 4) AS logs FROM lineitem GROUP BY 1"
 ORACLE["names_union"] = "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier"
-ORACLE["parts_not_ordered"] = "SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem"
+ORACLE["parts_not_in_large_lots"] = "SELECT p_partkey AS partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 45"
 
 ORACLE["events_tumbling"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 ORACLE["events_sliding"] = """SELECT time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(0, 4) t(i) GROUP BY ALL"""
