@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecquarry.operators.ordered import group_breaks
-from vecquarry.session import materialize, salted_join
+from vecquarry.session import materialize
 
 #: Items in a section of a compactor. The rank error at rank r of n is about 0.5 / SECTION * (n - r).
 SECTION = 128
@@ -212,9 +212,10 @@ def measured_times(detail: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     rows = detail.filter(F.col("dataset").isNotNull() & usable_number(time) & (time > 0)).select(
         "dataset", F.coalesce("algorithm", F.lit("\0")).alias("algorithm"), "measured_at", "time", F.xxhash64(*rest, nulls).alias("__rest")
     )
-    # written, so that Spark knows its size when it picks the join
-    sizes = materialize(rows.groupBy("dataset", "algorithm").agg(F.ceil(F.count("*") / part_rows).alias("__parts")))
-    rows = salted_join(rows, sizes, ["dataset", "algorithm"], F.col("__rest"))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__rest", "measured_at"), F.col("__parts")))
+    # the groups of more than one part, of which there is at most one for every part_rows rows; written, so that Spark
+    # knows their size when it picks the join
+    large = materialize(rows.groupBy("dataset", "algorithm").agg(F.ceil(F.count("*") / part_rows).alias("__parts")).filter("__parts > 1"))
+    rows = rows.join(large, ["dataset", "algorithm"], "left")
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__rest", "measured_at"), F.coalesce("__parts", F.lit(1))))
     rows = rows.repartition("dataset", "algorithm", "__part").dropDuplicates(["dataset", "algorithm", "__part", "measured_at", "time", "__rest"])
     return rows.select("dataset", F.nullif("algorithm", F.lit("\0")).alias("algorithm"), F.to_date("measured_at").alias("day"), "time")
