@@ -430,6 +430,17 @@ def line_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     return used.mapInArrow(run, f"doc_id {kind}, filled boolean, counts array<bigint>, statistics array<double>")
 
 
+def document_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(doc_id, words, mean_word_length, symbol_ratio, ending_share, common_share) of every document: see quality."""
+    at = lambda i: F.filter("counts", lambda _, j: F.pmod(j, F.lit(len(COUNTS))) == i)
+    total = {c: F.aggregate(at(i), F.lit(0).cast("bigint"), lambda a, b: a + b) for i, c in enumerate(COUNTS)}
+    sums = line_statistics(docs, common_words).select("doc_id", (F.size("counts") / len(COUNTS)).alias("lines"), *[c.alias(n) for n, c in total.items()])
+    part = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    numbers = {"words": F.col("words"), "mean_word_length": part("word_chars", "words"), "symbol_ratio": part("symbol_chars", "chars"), "ending_share": part("ends", "lines"), "common_share": part("common_words", "words")}
+    each = sums.select("doc_id", *[c.alias(n) for n, c in numbers.items()])
+    return each.groupBy("doc_id").agg(F.min(F.struct(*numbers)).alias("d")).select("doc_id", "d.*")
+
+
 def quality(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id, words, mean_word_length, symbol_ratio, ending_share, common_share, prose, list, table, junk, form) of
     every document; the last five are the shares of its characters in lines of each form and the form of the largest.

@@ -98,11 +98,16 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     pairs = _overlaps(spark, d).join(sources, "eval_id")
     return pairs.groupBy("dataset", "part", "source").agg(
         F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("eval_vectors"), F.count_distinct("train_id").alias("train_vectors"),
-        F.count_if(F.col("cosine") == 1).alias("same"), F.round(F.avg("letters"), 3).alias("mean_letters"),
+        F.count_if(F.col("cosine") == 1).alias("same"),
     )
 
 
-QUERIES |= {f.__name__: f for f in (p2_found, p2_report)}
+def p2_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every overlapping pair with the number and the letters of the maximal matches of its texts."""
+    return _overlaps(spark, d)
+
+
+QUERIES |= {f.__name__: f for f in (p2_found, p2_report, p2_spans)}
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -120,8 +125,14 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The plain figures of every document."""
+    q = quality.document_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return q.select("doc_id", "words", *[F.round(c, 9).alias(c) for c in ("mean_word_length", "symbol_ratio", "ending_share", "common_share")])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_quality(spark, d).filter(F.col("form") != "prose").select("doc_id")
 
 
-QUERIES |= {f.__name__: f for f in (p9_found, p9_quality)}
+QUERIES |= {f.__name__: f for f in (p9_found, p9_quality, p9_statistics)}
