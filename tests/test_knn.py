@@ -128,3 +128,33 @@ def test_registry_and_runs(spark, data):
     done = runner.run(i, "ivf(faiss)", {"n_probe": 4}, queries, 5, seconds, 2)
     row = runner.summary(spark, "d", "ivf(faiss)", "p", 5, done, knn.knn(queries, corpus, "euclidean", 5)).first()
     assert row["recall"] == 1.0 and row["qps"] > 0
+
+
+def test_descent_in_memory_finds_neighbours():
+    from vecquarry.functions import beams
+    from vecquarry.functions.kernels import nearest, prepare
+
+    rng = np.random.default_rng(4)
+    for metric, raw in (("euclidean", rng.standard_normal((1500, 12))), ("cosine", rng.standard_normal((700, 8))), ("hamming", rng.integers(0, 256, (400, 4)).astype(float))):
+        x = prepare(raw, metric)
+        near, far = beams.descend(x, 20, metric)
+        cols, d = nearest(x, x, np.arange(len(x)), metric, 9, 6)
+        assert np.mean([far[i, 7] <= d[i, 8] + 1e-5 for i in range(len(x))]) >= 0.9
+    assert beams.descend(x[:1], 5, "hamming")[0].tolist() == [[-1]]
+
+
+@pytest.mark.parametrize("metric,descent", [("euclidean", 0), ("cosine", 1), ("ip", 0)])
+def test_graphs_of_several_shards(spark, metric, descent):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 10))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None)], "vec_id bigint, embedding array<double>")
+    queries = corpus.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    graph = index.Graph(metric=metric, degree=12, descent=descent, shard=200).fit(corpus).set_query_arguments(beam=40)
+    found = graph.query(queries, 10)
+    assert graph.shards == 5 and recall_of(found, knn.knn(queries, corpus, metric, 10)) >= 0.95
+    assert graph.distance_computations(queries).count() == 45
+
+
+def recall_of(found, truth):
+    a, b = ({(r["qid"], r["vec_id"]) for r in df.collect()} for df in (found, truth))
+    return len(a & b) / len(b)

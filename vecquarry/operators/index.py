@@ -8,6 +8,7 @@ split, so that a task holds a bounded piece; candidates of all buckets are merge
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecquarry.functions import beams
 from vecquarry.functions.kernels import distances, matrix, prepare, top_k
 from vecquarry.operators.knn import DIGITS, knn, ranked, recall_ids, rescore
 from vecquarry.session import materialize
@@ -25,6 +27,8 @@ from vecquarry.session import materialize
 SAMPLE = 20_000
 #: Rows of a bucket that one task takes; larger buckets are split.
 PIECE = 50_000
+#: Rows of a shard of neighbour graphs.
+SHARD = 20_000
 #: Bytes of learnt arrays that may be sent to every task.
 MODEL_BYTES = 256 << 20
 
@@ -417,19 +421,25 @@ CHANGED_LEAST = 0.001
 
 def nn_descent(corpus: DataFrame, k: int, metric: str, steps: int = 1, seed: int = 1) -> DataFrame:
     """(src, rank, dst, distance): neighbours of neighbours, in either direction, are tried and the best kept, step by
-    step from random ones, at least `steps` times and on until a step changes few edges. Lists of 2.5 * k rows are kept on
+    step from those found within shards in the same way, at least `steps` times and on until a step changes few edges. Lists of 2.5 * k rows are kept on
     the way and cut to k at the end, as lists of k rows get stuck. All reverse partners take part; the partners of a hub
     are split into blocks whose pairs are made in tasks of their own."""
     width = -(-5 * k // 2)
     rows = materialize(corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL"))
     queries = rows.select(F.col("vec_id").alias("qid"), "embedding")
     n = max(1, rows.count())
-    # a random start: rows that share a bucket of about width + 1 rows in one of three hashes, so that buckets are linked
-    buckets = F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64("vec_id", F.lit(seed + i)), F.lit(max(1, n // (width + 1)))).alias("b")) for i in range(3)])
-    numbered = rows.select("vec_id", F.explode(buckets).alias("b"))
-    other = numbered.select(F.col("vec_id").alias("qid"), "b")
-    start = other.join(numbered, "b").filter("qid <> vec_id").select("qid", "vec_id").distinct()
-    edges = materialize(_as_edges(rescore(start, queries, rows, metric, width), width))
+    # the start: descent in memory within shards of rows that a hash puts together, which the steps below then join up
+    shards = max(1, -(-n // SHARD))
+
+    def within(g: pd.DataFrame) -> pd.DataFrame:
+        ids, x = g["vec_id"].to_numpy(), prepare(matrix(g["embedding"]), metric)
+        near, far = beams.descend(x, width, metric, seed)
+        row, place = np.nonzero(near >= 0)
+        return pd.DataFrame({"qid": ids[row], "vec_id": ids[near[row, place]], "distance": np.round(far[row, place], DIGITS)})
+
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(shards)).cast("int")
+    start = rows.withColumn("shard", shard).groupBy("shard").applyInPandas(within, "qid bigint, vec_id bigint, distance double")
+    edges = materialize(_as_edges(start, width))
     step = 0
     while True:
         forth = edges.select("src", "dst")
@@ -468,13 +478,23 @@ def prune(edges: DataFrame, corpus: DataFrame, degree: int, metric: str, alpha:
     return ends.select("src", "dst", "distance", "embedding").groupBy("src").applyInPandas(run, "src bigint, rank int, dst bigint, distance double")
 
 
+def _packed(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
 @dataclass
 class Graph(Index):
-    """A pruned neighbour graph, searched by beams that all queries move along at once: each step joins the beam's new
-    rows to their edges, scores what is new and keeps the best `beam`, until no beam changes.
+    """Pruned neighbour graphs, one for each shard of the rows, searched by beams.
+
+    The rows are cut by a hash of vec_id into shards of about SHARD rows. A task builds the graph of a shard, exactly in
+    tiles or (descent) from neighbours of neighbours, prunes it, and writes it as one row. A query meets all shards, in
+    each of which all queries of a block move along at once from `entries` rows until no beam changes; the best of all
+    shards are merged. Work and memory of a task do not grow with the rows.
 
-    With fit_ood and bipartite, edges also join rows that are neighbours of one learn query. codes: scores on the way by
-    codes, with exact ones at the end."""
+    With fit_ood and bipartite, edges also join rows of a shard that are neighbours of one learn query. codes: scores on
+    the way by codes, with exact ones at the end. Query arguments: beam, steps (none: until no beam changes)."""
 
     degree: int = 16
     alpha: float = 1.0
@@ -482,21 +502,40 @@ class Graph(Index):
     descent: int = 0
     bipartite: bool = False
     codes: ScalarCodes | ProductCodes | SignCodes | None = None
+    shard: int = SHARD
     METRICS = ("euclidean", "cosine", "normalized", "ip", "hamming")
 
     def _build(self, corpus: DataFrame, extra: DataFrame | None = None) -> "Graph":
         self.corpus = corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
-        base = nn_descent(self.corpus, self.degree, self.metric, self.descent, self.seed) if self.descent else knn_graph(self.corpus, self.degree, self.metric)
-        edges = base.select("src", "dst", "distance")
-        if extra is not None:
-            edges = edges.unionByName(extra).dropDuplicates(["src", "dst"])
-        kept = prune(edges, self.corpus, self.degree, self.metric, self.alpha).select("src", "dst")
-        self.edges = materialize(kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-        self.starts = [int(i) for i in _sample(self.corpus, self.entries, self.seed)[0]]
-        self.scored = self.corpus
+        self.shards = max(1, -(-self.corpus.count() // self.shard))
         if self.codes is not None:
             self.codes.fit(self._space(_sample(self.corpus, self.sample, self.seed)[1]))
-            self.scored = materialize(add_column(self.corpus, "code", T.ArrayType(T.DoubleType()), lambda x: self.codes.decode(self.codes.encode(self._space(x))), ["vec_id"]).select("vec_id", F.col("code").alias("embedding")))
+        part = lambda c: F.pmod(F.xxhash64(c), F.lit(self.shards)).cast("int")
+
+        def graph(rows: pd.DataFrame, pairs: pd.DataFrame | None = None) -> pd.DataFrame:
+            if not len(rows):
+                return pd.DataFrame({"shard": [], "graph": []})
+            rows = rows.sort_values("vec_id").drop_duplicates("vec_id")
+            ids, raw = rows["vec_id"].to_numpy(), matrix(rows["embedding"])
+            x = prepare(raw, self.metric)
+            near, far = beams.neighbour_lists(x, self.degree, self.metric, self.descent > 0, self.seed)
+            if pairs is not None and len(pairs):
+                a, b = np.searchsorted(ids, pairs["src"].to_numpy()), np.searchsorted(ids, pairs["dst"].to_numpy())
+                row, place = np.nonzero(near >= 0)
+                row, col = np.concatenate([row, a]), np.concatenate([near[near >= 0], b])
+                near, far = beams.best_of(row, col, beams.pair_distances(x[row], x[col], self.metric), len(ids), 5 * self.degree)
+            kept = beams.prune_lists(x, near, far, self.degree, self.metric, self.alpha)
+            begin, targets = beams.adjacency(np.nonzero(kept)[0], near[kept], len(ids))
+            starts = np.random.default_rng(self.seed).choice(len(ids), min(self.entries, len(ids)), replace=False)
+            return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "graph": [_packed(ids=ids, raw=raw, begin=begin, targets=targets, starts=np.sort(starts))]})
+
+        rows = self.corpus.withColumn("shard", part("vec_id"))
+        if extra is None:
+            built = rows.groupBy("shard").applyInPandas(lambda r: graph(r), "shard int, graph binary")
+        else:
+            inner = extra.withColumn("pair_shard", part("src")).filter(F.col("pair_shard") == part("dst"))
+            built = rows.groupBy("shard").cogroup(inner.groupBy("pair_shard")).applyInPandas(lambda r, p: graph(r, p), "shard int, graph binary")
+        self.graphs = materialize(built)
         return self
 
     def fit(self, corpus: DataFrame) -> "Graph":
@@ -509,26 +548,47 @@ class Graph(Index):
             return self._build(corpus)
         near = learn_neighbours.filter(F.col("rank") <= self.degree)
         pivot = near.filter("rank = 1").select("qid", F.col("vec_id").alias("src"))  # a learn query's nearest row takes its others
-        pairs = pivot.join(near, "qid").filter("src <> vec_id").select(F.col("src").alias("qid"), "vec_id").distinct()
-        queries = corpus.select(F.col("vec_id").alias("qid"), "embedding")
-        extra = rescore(pairs, queries, corpus, self.metric, 4 * self.degree).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), "distance")
-        return self._build(corpus, extra)
+        return self._build(corpus, pivot.join(near, "qid").filter("src <> vec_id").select("src", F.col("vec_id").alias("dst")).distinct())
 
-    def query(self, queries: DataFrame, k: int) -> DataFrame:
-        width, steps = max(k, self.arguments.get("beam", 2 * k)), self.arguments.get("steps", 30)
+    def _search(self, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+        """(qid, vec_id, distance, computed) of the k best of each query in each shard."""
         q = queries.select("qid", "embedding").filter("embedding IS NOT NULL")
-        start = q.select("qid", F.explode(F.array(*[F.lit(i).cast("bigint") for i in self.starts])).alias("vec_id"))
-        beam = materialize(rescore(start, q, self.scored, self.metric, width).withColumn("open", F.lit(True)))
-        for _ in range(steps):
-            fresh = beam.filter("open").join(self.edges, F.col("vec_id") == F.col("src")).select("qid", F.col("dst").alias("vec_id")).distinct()
-            fresh = fresh.join(beam.select("qid", "vec_id"), ["qid", "vec_id"], "left_anti")
-            found = rescore(fresh, q, self.scored, self.metric, width).withColumn("open", F.lit(True))
-            both = beam.withColumn("open", F.lit(False)).unionByName(found)
-            best = ranked(both.select("qid", "vec_id", "distance"), width).join(both.select("qid", "vec_id", "open"), ["qid", "vec_id"])
-            beam = materialize(best)
-            if beam.filter("open").isEmpty():
-                break
-        return rescore(beam, q, self.corpus, self.metric, k) if self.codes is not None else ranked(beam.select("qid", "vec_id", "distance"), k)
+        blocks = max(1, -(-q.count() // block))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = q.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), every(self.shards).alias("s"))
+        right = self.graphs.select(F.col("shard").alias("rs"), "graph", every(blocks).alias("rb"))
+        width, steps = max(k, self.arguments.get("beam", 2 * k)), self.arguments.get("steps")
+
+        def search(a: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(g):
+                return pd.DataFrame({"qid": [], "vec_id": [], "distance": [], "computed": []})
+            held = np.load(io.BytesIO(g["graph"].iloc[0]))
+            raw, ids = held["raw"], held["ids"]
+            x, asked = prepare(raw, self.metric), prepare(matrix(a["embedding"]), self.metric)
+            scored = x if self.codes is None else prepare(self.codes.decode(self.codes.encode(self._space(raw))), self.metric)
+            out = []
+            for at in range(0, len(a), 128):
+                some = asked[at : at + 128]
+                beam, _, computed = beams.beam_search(some, scored, held["begin"], held["targets"], held["starts"], width, self.metric, steps)
+                row, place = np.nonzero(beam >= 0)
+                col = beam[row, place]
+                d = np.round(beams.pair_distances(some[row], x[col], self.metric), DIGITS)
+                by = np.lexsort((ids[col], d, row))
+                row, col, d = row[by], col[by], d[by]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"qid": a["qid"].to_numpy()[at + row[first]], "vec_id": ids[col[first]], "distance": d[first], "computed": computed[row[first]]}))
+            return pd.concat(out)
+
+        return left.groupBy("b", "s").cogroup(right.groupBy("rb", "rs")).applyInPandas(search, "qid bigint, vec_id bigint, distance double, computed bigint")
+
+    def query(self, queries: DataFrame, k: int) -> DataFrame:
+        return ranked(self._search(queries, k).drop("computed"), k)
+
+    def distance_computations(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(qid, dist_comps): distances computed on the way, in all shards."""
+        shard = F.pmod(F.xxhash64("vec_id"), F.lit(self.shards))
+        per = self._search(queries, k).groupBy("qid", shard.alias("s")).agg(F.first("computed").alias("n"))
+        return per.groupBy("qid").agg(F.sum("n").alias("dist_comps"))
 
 
 @dataclass

@@ -182,7 +182,8 @@ def tree_supervised_search(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
     q = _asking(c)
     learn = c.select(F.col("vec_id").alias("qid"), "embedding")
-    return index.Trees(trees=8, depth=4, supervised=True).fit_ood(c, learn, knn.knn(learn, c, "euclidean", 10)).query(q, 10)
+    near = index.Graph(degree=16).fit(c).set_query_arguments(beam=40).query(learn, 10)
+    return index.Trees(trees=8, depth=4, supervised=True).fit_ood(c, learn, near).query(q, 10)
 
 
 @query
@@ -193,7 +194,8 @@ def nn_descent(spark: SparkSession, d: str) -> DataFrame:
 @query
 def graph_prune(spark: SparkSession, d: str) -> DataFrame:
     c = _corpus(spark, d)
-    return index.prune(index.knn_graph(c, 16, "euclidean"), c, 8, "euclidean", 1.0)
+    found = index.Graph(degree=16).fit(c).set_query_arguments(beam=40)
+    return index.prune(index.knn_graph(c, 16, "euclidean", found), c, 8, "euclidean", 1.0)
 
 
 # Deriving datasets
