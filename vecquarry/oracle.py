@@ -240,3 +240,31 @@ ORACLE["p6_values"] = f"""WITH {FILE_FIELDS}, items AS (
     SELECT file_id, dataset, algorithm, written_at, round(list_max(q.v), 6) AS best_qps, round(list_min(t.v), 12) AS best_search_time, list_transform(coalesce(r.v, CASE WHEN has.file_id IS NOT NULL THEN [] END), lambda x: round(x, 6)) AS recalls
     FROM files LEFT JOIN (FROM scaled WHERE field = 'best_qps') q USING (file_id) LEFT JOIN (FROM scaled WHERE field = 'best_search_time') t USING (file_id) LEFT JOIN (FROM scaled WHERE field = 'recalls') r USING (file_id)
     LEFT JOIN (SELECT file_id FROM found WHERE field = 'recalls') has USING (file_id)"""
+
+ORACLE["grid_inventory"] = """SELECT * FROM (VALUES ('hnswlib', 9, 144), ('ivf(faiss)', 4, 34), ('ivfpqfs(faiss)', 4, 170), ('mrpt', 1, 16), ('pag', 12, 108), ('pdx', 1, 10), ('cuvs-cagra', 21, 588)) t(algorithm, definitions, evaluations)"""
+_DRAWN = "row_number() OVER (ORDER BY md5(vec_id || ':42'), vec_id)"
+ORACLE["dataset_builds"] = f"""WITH texts AS (SELECT min(doc_id) AS vec_id FROM documents WHERE text IS NOT NULL GROUP BY text)
+    SELECT 'agnews-mxbai-1024-euclidean' AS dataset, CASE WHEN {_DRAWN} <= 50 THEN 'test' ELSE 'train' END AS part, vec_id FROM texts
+    UNION ALL SELECT 'llama-128-ip', CASE WHEN label < 7 THEN 'train' ELSE q END, vec_id FROM (SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label >= 7 ORDER BY md5(vec_id || ':42'), vec_id) <= 20 THEN 'test' ELSE 'learn' END AS q FROM embeddings)
+    UNION ALL SELECT 'glove-200-cosine', CASE WHEN {_DRAWN} <= 30 THEN 'test' ELSE 'train' END, vec_id FROM embeddings"""
+ORACLE["export_stats"] = f"SELECT 'embeddings' AS dataset, qid AS query_index, rc1, lid10, rc10, lid100, rc100 FROM ({ORACLE['query_stats']})"
+ORACLE["export_info"] = "SELECT dataset, count(DISTINCT vec_id) AS n, max(len(embedding)) AS dimensions FROM vectors WHERE part = 'train' AND embedding IS NOT NULL AND dataset IS NOT NULL GROUP BY dataset"
+ORACLE["export_skipped"] = "SELECT 'embeddings' AS dataset, 10 AS k, 'ivf(faiss)' AS algorithm, 'bad' AS run, 'no best_qps or best_search_time' AS reason"
+_RECALLS = f"SELECT qid, round(count(f.distance) FILTER (f.distance <= far) / 10.0::DOUBLE, 6) AS recall, {{0}} AS n FROM bound LEFT JOIN ({{1}}) f USING (qid) GROUP BY qid"
+_BOTH = " UNION ALL ".join(_RECALLS.format(n, _probed(n)) for n in (1, 2))
+ORACLE["export_summary"] = f"""WITH {CELLS}, {TRUTH}, r AS ({_BOTH})
+    SELECT 10 AS k, 'embeddings' AS dataset, 'ivf(faiss)' AS algorithm, n::VARCHAR AS params, 1 / n::DOUBLE AS qps, round(avg(recall), 6) AS recall, 1.0::DOUBLE AS build_time, 2.0::DOUBLE AS index_size FROM r GROUP BY n"""
+ORACLE["export_detail"] = f"""WITH {CELLS}, {TRUTH}, r AS ({_BOTH}), comps AS (SELECT qid, n, 16 + count(vec_id) AS comps FROM probes JOIN (VALUES (1), (2)) t(n) ON r <= n LEFT JOIN assigned USING (cell) GROUP BY qid, n)
+    SELECT 'embeddings' AS dataset, qid AS query_index, 10 AS k, n::VARCHAR AS params, comps::DOUBLE AS time, recall FROM r JOIN comps USING (qid, n)"""
+
+
+def _recipes() -> str:
+    from vecquarry.sources.recipes import TABLE
+
+    lines = ", ".join("('" + " ".join(x.split()) + "')" for x in TABLE.strip().splitlines())
+    return f"""WITH t AS (SELECT string_split(line, ' ') AS w FROM (VALUES {lines}) v(line)), p AS (SELECT *, string_split(w[1], '-') AS p FROM t),
+        i AS (SELECT *, list_position(list_transform(p, lambda x: regexp_full_match(x, '[0-9]+')), true) AS i FROM p)
+        SELECT w[1] AS dataset, w[2] AS kind, array_to_string(w[3:], ' ') AS sources, p[i]::INT AS dimension, coalesce(p[i + 1], 'normalized') AS distance, coalesce(p[i + 2], 'float') AS point_type FROM i"""
+
+
+ORACLE["dataset_recipes"] = _recipes()

@@ -8,6 +8,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,43 @@ def run(index: Index, name: str, arguments: dict, queries: DataFrame, k: int, bu
     return Run(build_time, best, 1 / best, results)
 
 
+#: Queries that may be timed one by one.
+MOST_QUERIES = 10_000
+
+
+def run_each(index: Index, name: str, arguments: dict, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, time): seconds of each query answered alone, one after the other; of at most MOST_QUERIES queries."""
+    index.set_query_arguments(**REGISTRY[name].query(arguments))
+    ids = [r["qid"] for r in queries.select("qid").orderBy("qid").limit(MOST_QUERIES + 1).collect()]
+    if len(ids) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries to time one by one")
+    out = []
+    for q in ids:
+        one = queries.filter(F.col("qid") == q)
+        began = time.perf_counter()
+        index.query(one, k).collect()  # k rows
+        out.append((q, time.perf_counter() - began))
+    return queries.sparkSession.createDataFrame(out, "qid bigint, time double")
+
+
+def index_size(index: Index) -> float:
+    """KB of an index: the files of its tables, as Spark sizes them, and its learnt arrays."""
+    held, todo, seen = 0, [index], set()
+    while todo:
+        at = todo.pop()
+        if id(at) in seen:
+            continue
+        seen.add(id(at))
+        for name, v in vars(at).items():
+            if isinstance(v, DataFrame):
+                held += 0 if name == "corpus" else int(str(v._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            elif isinstance(v, np.ndarray):
+                held += v.nbytes
+            elif hasattr(v, "__dict__") and not isinstance(v, type):
+                todo.append(v)
+    return held / 1024
+
+
 def padded(results: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, neighbours, distances) of exactly k entries for every query; what is missing is -1 at an infinite distance."""
     lists = queries.select("qid").join(nested(results.filter(F.col("rank") <= k)), "qid", "left")
@@ -66,7 +104,11 @@ def metrics(results: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]
     build_time, index_size) against truth (dataset, qid, rank, distance)."""
     limits = truth.select("dataset", "qid", F.col("rank").alias("k"), F.col("distance").alias("limit"))
     hits = F.size(F.filter(F.slice("distances", 1, F.col("k")), lambda d: (d <= F.col("limit") + 1e-3) & (d < float("inf"))))
-    rows = results.join(limits, ["dataset", "qid", "k"]).withColumn("recall", hits / F.col("k"))
+    return tables(results.join(limits, ["dataset", "qid", "k"]).withColumn("recall", hits / F.col("k")))
+
+
+def tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(summary, detail) of raw results with their recalls."""
     detail = rows.select("dataset", F.col("qid").alias("query_index"), "k", "algorithm", "params", F.col("time").cast("float").alias("time"), "recall", "build_time", "index_size")
     qps = F.coalesce(F.col("best_qps"), 1 / F.col("best_search_time"))
     per_run = rows.groupBy("k", "dataset", "algorithm", "params").agg(F.first(qps).alias("qps"), F.avg("recall").alias("recall"), F.first("build_time").alias("build_time"), F.first("index_size").alias("index_size"))

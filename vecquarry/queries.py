@@ -13,9 +13,9 @@ from vecquarry.functions import vector as V
 from vecquarry.operators import derive, drift, index, knn, ranks, significance, stats
 from vecquarry.operators.ordered import positions
 from vecquarry.oracle import ORACLE  # noqa: F401
-from vecquarry.plans import grid, report, runner
+from vecquarry.plans import export, grid, report, runner, suite
 from vecquarry.session import materialize, shared_dir, table
-from vecquarry.sources import datasets, files
+from vecquarry.sources import datasets, files, recipes
 from vecquarry.sources.datasets import encoded, hashing_encoder, text_dataset
 from vecquarry.streaming import windows
 
@@ -491,6 +491,80 @@ def grid_capabilities(spark: SparkSession, d: str) -> DataFrame:
     return grid.capabilities(grid.specifications(spark, DOCUMENTS))
 
 
+@query
+def grid_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions and evaluations of the suite's grids."""
+    return grid.evaluation_counts(grid.definitions(grid.specifications(spark, suite.documents()), "float", "euclidean", 64, 100))
+
+
+@query
+def dataset_recipes(spark: SparkSession, d: str) -> DataFrame:
+    return recipes.recipes(spark).select("dataset", "kind", F.concat_ws(" ", "sources").alias("sources"), "dimension", "distance", "point_type")
+
+
+@query
+def dataset_builds(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets of three kinds built from the tables here: which row is in which part."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    source = {"agnews": texts, "llama-keys": e.filter("label < 7"), "llama-queries": e.filter("label >= 7"), "glove": e}
+    rows = None
+    for name, test in (("agnews-mxbai-1024-euclidean", 50), ("llama-128-ip", 20), ("glove-200-cosine", 30)):
+        for part, df in recipes.parts_of(name, source.__getitem__, {"": hashing_encoder}, test).items():
+            one = df.select(F.lit(name).alias("dataset"), F.lit(part).alias("part"), "vec_id")
+            rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _exported(spark: SparkSession, d: str) -> tuple[export.Export, DataFrame]:
+    """Two raw runs of inverted lists, whose times are given by the distances computed, and one without a speed."""
+    i, q = _ivf(spark, d, 1)
+    path, truth = _place(spark, "raw"), knn.knn(q, i.corpus, "euclidean", 10).withColumn("dataset", F.lit("embeddings"))
+    for n in (1, 2):
+        i.set_query_arguments(n_probe=n)
+        raw = runner.padded(i.query(q, 10), q, 10).join(i.distance_computations(q), "qid")
+        facts = {"dataset": "embeddings", "k": 10, "algorithm": "ivf(faiss)", "run": f"r{n}", "params": str(n), "build_time": 1.0, "index_size": 2.0}
+        raw = raw.withColumns({c: F.lit(v) for c, v in facts.items()}).withColumn("time", F.col("dist_comps").cast("double"))
+        datasets.write_results(raw.withColumns({"best_search_time": F.lit(float(n)), "best_qps": F.lit(None).cast("double")}).drop("dist_comps"), path)
+        if n == 2:
+            datasets.write_results(raw.withColumns({"best_search_time": F.lit(None).cast("double"), "best_qps": F.lit(None).cast("double"), "run": F.lit("bad")}).drop("dist_comps"), path)
+    return export.export(spark, path, truth, _place(spark, "export")), truth
+
+
+@query
+def export_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _exported(spark, d)[0].summary.select("k", "dataset", "algorithm", "params", "qps", F.round("recall", 6).alias("recall"), "build_time", "index_size")
+
+
+@query
+def export_detail(spark: SparkSession, d: str) -> DataFrame:
+    return _exported(spark, d)[0].detail.select("dataset", "query_index", "k", "params", F.col("time").cast("double").alias("time"), F.round("recall", 6).alias("recall"))
+
+
+@query
+def export_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return _exported(spark, d)[0].skipped
+
+
+@query
+def export_stats(spark: SparkSession, d: str) -> DataFrame:
+    c = _corpus(spark, d)
+    q = _asking(c)
+    s = export.dataset_stats({"embeddings": (knn.knn(q, c, "euclidean", 100), knn.mean_distance(q, c, "euclidean"))})
+    return s.select("dataset", "query_index", *[F.round(n, 3).alias(n) for n in s.columns[2:]])
+
+
+@query
+def export_info(spark: SparkSession, d: str) -> DataFrame:
+    return export.info(table(spark, d, "vectors").dropDuplicates(["vec_id"]))
+
+
+@query
+def export_plane(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _by_label(spark, d)
+    return export.plane("embeddings", {"train": a, "test": b})
+
+
 # Names and texts
 
 
