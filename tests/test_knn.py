@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecquarry.operators import index, knn
 from vecquarry.plans import registry, runner
@@ -158,3 +159,31 @@ def test_graphs_of_several_shards(spark, metric, descent):
 def recall_of(found, truth):
     a, b = ({(r["qid"], r["vec_id"]) for r in df.collect()} for df in (found, truth))
     return len(a & b) / len(b)
+
+
+def test_parameters_of_configurations(spark, data):
+    x, corpus, queries = data[0], data[1], data[2]
+    truth = knn.knn(queries, corpus, "euclidean", 5)
+    trees = registry.instantiate("mrpt", "euclidean", {"n_trees": 24, "depth": 3}).fit(corpus).set_query_arguments(**registry.REGISTRY["mrpt"].query({"target_recall": 0.9}))
+    assert recall_of(trees.query(queries, 5), truth) >= 0.85 and trees.arguments["votes"] >= 1
+    hashed = registry.instantiate("puffinn", "cosine", {"bits": 6}).fit(corpus).set_query_arguments(**registry.REGISTRY["puffinn"].query({"recall": 0.9}))
+    assert recall_of(hashed.query(queries, 5), knn.knn(queries, corpus, "cosine", 5)) >= 0.8 and "probes" in hashed.arguments
+    lean = registry.instantiate("vamana-leanvec(svs)", "euclidean", {"degree": 12, "reduced_dimensions": 8, "L": 40}).fit(corpus).set_query_arguments(beam=60)
+    assert lean.candidates == 40 and recall_of(lean.query(queries, 5), truth) >= 0.85
+    codes = index.ProductCodes(words=8, block=2, threshold=0.3).fit(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    along = lambda c: np.abs(((x - c.decode(c.encode(x))) * unit).sum(axis=1)).mean()
+    assert len(codes.cuts) == -(-x.shape[1] // 2) and along(codes) < along(index.ProductCodes(words=8, block=2).fit(x))
+
+
+def test_bits(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 256, (12, 8))
+    rows = [(i, [int(v) ^ int(rng.random() < 0.3) << int(rng.integers(8)) for v in base[i % 12]]) for i in range(240)]
+    corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<int>")
+    queries = corpus.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    truth = knn.knn(queries, corpus, "hamming", 5)
+    for i, arguments in ((registry.instantiate("annoy", "hamming", {"n_trees": 16, "depth": 3}), {"votes": 1}), (index.IVF(metric="hamming", n_list=8), {"n_probe": 4}), (index.Graph(metric="hamming", degree=12), {"beam": 40})):
+        got = i.fit(corpus).set_query_arguments(**arguments).query(queries, 5)
+        far = truth.groupBy("qid").agg(F.max("distance").alias("far"))
+        assert got.join(far, "qid").filter("distance <= far").count() >= 0.9 * truth.count()

@@ -96,3 +96,14 @@ def test_text_dataset(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30} words") for i in range(60)] + [(99, None)], "doc_id bigint, text string")
     train, test = datasets.text_dataset(docs, datasets.hashing_encoder, 5)
     assert train.count() == 25 and test.count() == 5 and len(test.first()["embedding"]) == 64
+
+
+def test_unreadable_results_are_reported(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("d", 10, "a", "r1", 1, 0.5)], "dataset string, k int, algorithm string, run string, qid bigint, time double")
+    datasets.write_results(rows, path)
+    (tmp_path / "results" / "dataset=d" / "k=10" / "algorithm=a" / "run=r2").mkdir()
+    (tmp_path / "results" / "dataset=d" / "k=10" / "algorithm=a" / "run=r2" / "broken.parquet").write_bytes(b"PAR1 no table")
+    assert datasets.read_results(spark, path, "d", 10).count() == 1
+    bad = datasets.unreadable(spark, path).collect()
+    assert len(bad) == 1 and bad[0]["path"].endswith("broken.parquet") and bad[0]["reason"]

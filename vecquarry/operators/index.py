@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,9 @@ class Index:
         return distances(prepare(q, self.metric), prepare(x, self.metric), self.metric)
 
     def _space(self, x: np.ndarray) -> np.ndarray:
-        """Where Euclidean structure stands for the metric: unit length under cosine."""
+        """Where Euclidean structure stands for the metric: unit length under cosine, single bits under hamming."""
+        if self.metric == "hamming":
+            return np.unpackbits(x.astype(np.uint8), axis=1).astype(np.float64)
         x = x.astype(np.float64)
         if self.metric in ("cosine", "normalized"):
             return x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-12)[:, None]
@@ -147,9 +150,11 @@ class Index:
         return f"{type(self).__name__}({self.metric}, {', '.join(f'{k}={v}' for k, v in self.arguments.items())})"
 
 
-def tuned(index: Index, corpus: DataFrame, k: int, arguments: Iterable[dict], target: float = 0.93, asks: int = 200) -> Index:
+def tuned(index: Index, corpus: DataFrame, k: int, arguments: Iterable[dict], target: float = 0.93, asks: int = 200, fitted: Index | None = None) -> Index:
     """The fitted index with the first of the query arguments (in order of effort) at which `asks` rows of the corpus,
     drawn by a hash of vec_id, find at least the target share of their exact neighbours; with the last if none does."""
+    if fitted is not None:
+        index.__dict__.update({n: v for n, v in fitted.__dict__.items() if n != "arguments"})
     sample = materialize(corpus.filter("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id", F.lit(index.seed)), "vec_id").limit(asks).select(F.col("vec_id").alias("qid"), "embedding"))
     truth = materialize(knn(sample, corpus, index.metric, k))
     for a in arguments:
@@ -198,24 +203,44 @@ class ScalarCodes:
 
 @dataclass
 class ProductCodes:
-    """One of `words` codewords in each of `parts` sub-spaces; words are k-means centroids of a sample, after a random
-    rotation if asked for."""
+    """One of `words` codewords in each of `parts` sub-spaces (or of sub-spaces of `block` dimensions each); words are
+    k-means centroids of a sample, after a random rotation if asked for. threshold, a cosine: errors along the vector,
+    which change its large inner products, weigh (d - 1) t^2 / (1 - t^2) times as much as those across it."""
 
     parts: int = 8
     words: int = 16
     rotate: bool = False
     seed: int = 1
+    block: int = 0
+    threshold: float = 0.0
 
     def fit(self, x: np.ndarray) -> "ProductCodes":
         self.turn = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((x.shape[1],) * 2))[0] if self.rotate else None
         y = x @ self.turn if self.rotate else x
-        self.cuts = np.array_split(np.arange(x.shape[1]), min(self.parts, x.shape[1]))
+        parts = -(-x.shape[1] // self.block) if self.block else self.parts
+        self.cuts = np.array_split(np.arange(x.shape[1]), min(parts, x.shape[1]))
         self.books = [kmeans(y[:, c], self.words, seed=self.seed) for c in self.cuts]
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         y = x @ self.turn if self.rotate else x
-        return np.stack([np.argmin((b * b).sum(axis=1) - 2 * y[:, c] @ b.T, axis=1) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.int32)
+        codes = np.stack([np.argmin((b * b).sum(axis=1) - 2 * y[:, c] @ b.T, axis=1) for c, b in zip(self.cuts, self.books)], axis=1).astype(np.int32)
+        return self._along(y, codes) if self.threshold else codes
+
+    def _along(self, y: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Codes of the least weighted error, sub-space by sub-space with the others held, twice round."""
+        t = self.threshold**2
+        weight = max(0.0, (y.shape[1] - 1) * t / (1 - t) - 1)
+        unit = y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-12)
+        along = sum(((y[:, c] - b[codes[:, i]]) * unit[:, c]).sum(axis=1) for i, (c, b) in enumerate(zip(self.cuts, self.books)))
+        for _ in range(2):
+            for i, (c, b) in enumerate(zip(self.cuts, self.books)):
+                rest = along - ((y[:, c] - b[codes[:, i]]) * unit[:, c]).sum(axis=1)
+                own = (y[:, c] * unit[:, c]).sum(axis=1)[:, None] - unit[:, c] @ b.T
+                cost = (b * b).sum(axis=1) - 2 * y[:, c] @ b.T + weight * (rest[:, None] + own) ** 2
+                codes[:, i] = np.argmin(cost, axis=1)
+                along = rest + np.take_along_axis(own, codes[:, i : i + 1].astype(int), 1)[:, 0]
+        return codes
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         y = np.empty((len(codes), sum(map(len, self.cuts))))
@@ -224,6 +249,25 @@ class ProductCodes:
         return y @ self.turn.T if self.rotate else y
 
 
+@dataclass
+class AxisCodes:
+    """Components along the first `rank` principal axes of a sample."""
+
+    rank: int = 16
+
+    def fit(self, x: np.ndarray) -> "AxisCodes":
+        if self.rank > x.shape[1]:
+            raise ValueError("rank is above the dimension")
+        self.axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : self.rank]
+        return self
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.axes
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return codes @ self.axes.T
+
+
 @dataclass
 class SignCodes:
     """Signs of the randomly rotated vector about the sample's mean, with its length and what the signs keep of it."""
@@ -252,7 +296,7 @@ class IVF(Index):
     Query arguments: n_probe lists a query; k_factor (0: none). seeded centroids: pass their vec_ids as `centroid_ids`."""
 
     n_list: int = 16
-    codes: ScalarCodes | ProductCodes | SignCodes | None = None
+    codes: ScalarCodes | ProductCodes | SignCodes | AxisCodes | None = None
     centroid_ids: list[int] | None = None
     METRICS = ("euclidean", "cosine", "normalized", "ip", "hamming")
 
@@ -263,7 +307,9 @@ class IVF(Index):
             self.centroids = matrix([r["embedding"] for r in rows])
         else:
             _, x = _sample(self.corpus, self.sample, self.seed)
-            self.centroids = kmeans(self._space(x), self.n_list, seed=self.seed) if self.metric != "hamming" else x[: self.n_list]
+            self.centroids = kmeans(self._space(x), self.n_list, seed=self.seed)
+            if self.metric == "hamming":  # the bits that most rows of a cell have
+                self.centroids = np.packbits(self.centroids > 0.5, axis=1).astype(np.float64)
         _checked(self.centroids)
         rows = add_column(self.corpus, "bucket", T.LongType(), lambda x: self._near(x, 1)[:, 0], ["vec_id", "embedding"])
         if self.codes is not None:
@@ -300,7 +346,8 @@ class IVF(Index):
 @dataclass
 class Hashing(Index):
     """`tables` hash tables of `bits` signs of random projections. Query arguments: probes, the buckets a table looks up,
-    in order of how near the query is to the planes that part it from them."""
+    in order of how near the query is to the planes that part it from them; or recall, for which the least number of
+    probes is chosen that reaches it on a sample of rows."""
 
     tables: int = 8
     bits: int = 8
@@ -322,12 +369,18 @@ class Hashing(Index):
 
     def _probe(self, x: np.ndarray, n: int) -> list[np.ndarray]:
         codes, p = self._codes(x)
-        flips = [0, *[1 << i for i in range(self.bits)], *[(1 << i) | (1 << j) for i in range(self.bits) for j in range(i)]]
+        n, flips = min(n, 1 << self.bits), []
+        for size in range(self.bits + 1):  # sets of planes, the small ones first, until there are enough
+            if len(flips) < n or size <= 2:
+                flips += [sum(1 << i for i in c) for c in combinations(range(self.bits), size)]
         cost = np.stack([np.where((np.array([f >> i & 1 for i in range(self.bits)]) > 0), np.abs(p), 0).sum(axis=2) for f in flips], axis=2)
         best = np.argsort(cost, axis=2, kind="stable")[:, :, :n]
         return list((codes[:, :, None] ^ np.array(flips)[best]).reshape(len(x), -1))
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
+        if "recall" in self.arguments:
+            target, steps = self.arguments["recall"], [{"probes": 1 << i} for i in range(self.bits + 1)]
+            self.arguments = {"recall": target, "probes": tuned(replace(self), self.corpus, k, steps, target, fitted=self).arguments["probes"]} if "probes" not in self.arguments else self.arguments
         n = self.arguments.get("probes", 1)
         some = add_column(queries, "buckets", T.ArrayType(T.LongType()), lambda x: np.stack(self._probe(x, n)), ["qid", "embedding"])
         return ranked(bucket_search(some.select("qid", "embedding", F.explode("buckets").alias("bucket")), self.lists, self._score, k), k)
@@ -336,12 +389,14 @@ class Hashing(Index):
 @dataclass
 class Trees(Index):
     """Random projection trees: one random direction a level, split at the sample's medians. Rows that share a leaf with
-    the query in at least `votes` trees are ranked exactly. With fit_ood and supervised, a leaf votes for the neighbours
+    the query in at least `votes` trees are ranked exactly; given a target_recall, the votes are the most that reach it on a
+    sample of rows. With fit_ood and supervised, a leaf votes for the neighbours
     of the learn queries in it instead of its own rows."""
 
     trees: int = 8
     depth: int = 5
     supervised: bool = False
+    METRICS = ("euclidean", "cosine", "normalized", "ip", "hamming")
 
     def _learn(self, corpus: DataFrame) -> None:
         self.corpus = corpus.select("vec_id", "embedding").filter("embedding IS NOT NULL")
@@ -388,6 +443,10 @@ class Trees(Index):
         return self
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
+        if "target_recall" in self.arguments and "votes" not in self.arguments:
+            sample = materialize(self.corpus.orderBy(F.xxhash64("vec_id", F.lit(self.seed)), "vec_id").limit(200).select(F.col("vec_id").alias("qid"), "embedding"))
+            votes = self.autotune(sample, knn(sample, self.corpus, self.metric, k), k, self.arguments["target_recall"])
+            self.arguments = self.arguments | {"votes": votes}
         votes = self._at(queries, "qid").join(self.lists, "bucket").groupBy("qid", "vec_id").agg(F.sum("n").alias("votes"))
         return rescore(votes.filter(F.col("votes") >= self.arguments.get("votes", 1)), queries, self.corpus, self.metric, k)
 
@@ -493,6 +552,7 @@ class Graph(Index):
     each of which all queries of a block move along at once from `entries` rows until no beam changes; the best of all
     shards are merged. Work and memory of a task do not grow with the rows.
 
+    candidates: neighbours of a row among which pruning chooses, if more than the degree.
     With fit_ood and bipartite, edges also join rows of a shard that are neighbours of one learn query. codes: scores on
     the way by codes, with exact ones at the end. Query arguments: beam, steps (none: until no beam changes)."""
 
@@ -500,8 +560,9 @@ class Graph(Index):
     alpha: float = 1.0
     entries: int = 64
     descent: int = 0
+    candidates: int = 0
     bipartite: bool = False
-    codes: ScalarCodes | ProductCodes | SignCodes | None = None
+    codes: ScalarCodes | ProductCodes | SignCodes | AxisCodes | None = None
     shard: int = SHARD
     METRICS = ("euclidean", "cosine", "normalized", "ip", "hamming")
 
@@ -518,7 +579,7 @@ class Graph(Index):
             rows = rows.sort_values("vec_id").drop_duplicates("vec_id")
             ids, raw = rows["vec_id"].to_numpy(), matrix(rows["embedding"])
             x = prepare(raw, self.metric)
-            near, far = beams.neighbour_lists(x, self.degree, self.metric, self.descent > 0, self.seed)
+            near, far = beams.neighbour_lists(x, max(self.degree, self.candidates), self.metric, self.descent > 0, self.seed)
             if pairs is not None and len(pairs):
                 a, b = np.searchsorted(ids, pairs["src"].to_numpy()), np.searchsorted(ids, pairs["dst"].to_numpy())
                 row, place = np.nonzero(near >= 0)

@@ -119,7 +119,7 @@ def frechet(a: DataFrame, b: DataFrame) -> float:
     return float(np.sqrt(((m1 - m2) ** 2).sum() + max(0.0, np.trace(c1) + np.trace(c2) - 2 * cross)))
 
 
-def median_bandwidth(df: DataFrame, sample: int = 1000, seed: int = 1, key: str = "vec_id") -> float:
+def median_bandwidth(df: DataFrame, sample: int = 4096, seed: int = 1, key: str = "vec_id") -> float:
     """Median of the positive distances within a bounded sample drawn by a hash of the key."""
     rows = df.filter("embedding IS NOT NULL").orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select("embedding").collect()  # at most `sample` rows
     x = np.array([r["embedding"] for r in rows], float)
@@ -160,7 +160,7 @@ def mmd(a: DataFrame, b: DataFrame, bandwidth: float, scales: tuple[float, ...]
     return float(per.mean())
 
 
-def sliced_wasserstein(a: DataFrame, b: DataFrame, directions: int = 64, quantiles: int = 512, seed: int = 1) -> float:
+def sliced_wasserstein(a: DataFrame, b: DataFrame, directions: int = 128, quantiles: int = 1024, seed: int = 1) -> float:
     """Root of the mean squared difference of the sorted projections on random directions. The sets may differ in size:
     their quantile functions are compared at the middles of `quantiles` equal steps, exact where the sizes are equal to it."""
     first = a.filter("embedding IS NOT NULL").first()

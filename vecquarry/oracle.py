@@ -268,3 +268,5 @@ def _recipes() -> str:
 
 
 ORACLE["dataset_recipes"] = _recipes()
+ORACLE["contrast_ridge"] = f"""WITH rc AS (SELECT label::VARCHAR AS dataset, ln(rc10) AS c FROM ({ORACLE["query_stats"]}) s JOIN embeddings ON qid = vec_id WHERE rc10 >= 1), g AS (SELECT range * 3.5::DOUBLE / 999 AS x FROM range(0, 1000))
+    SELECT dataset, round(x, 6) AS x, round(avg(exp(-(x - c) * (x - c) / (2 * 0.05::DOUBLE * 0.05::DOUBLE))) / (0.05::DOUBLE * sqrt(2 * pi())), 6) AS density FROM rc, g GROUP BY ALL"""

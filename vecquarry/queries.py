@@ -438,6 +438,17 @@ def recall_density(spark: SparkSession, d: str) -> DataFrame:
     return k.select("dataset", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
+@query
+def contrast_ridge(spark: SparkSession, d: str) -> DataFrame:
+    """Density of the logarithm of the relative contrast, of queries of a contrast of at least 1, by label."""
+    e = table(spark, d, "embeddings")
+    c = e.select("vec_id", "embedding")
+    q = _asking(c)
+    rc = knn.query_stats(knn.knn(q, c, "euclidean", 10), knn.mean_distance(q, c, "euclidean"), (10,)).select("qid", F.round("rc10", 3).alias("rc10"))
+    logs = rc.filter("rc10 >= 1").join(e.select(F.col("vec_id").alias("qid"), F.col("label").cast("string").alias("dataset")), "qid").select("dataset", F.log("rc10").alias("contrast"))
+    return stats.kde(logs, "contrast", ["dataset"], 0.0, 3.5, 1000, 0.05).select("dataset", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 @query
 def run_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Summary of a raw run of inverted lists, whose speed is given by the distances computed."""
@@ -605,7 +616,9 @@ def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def prefixed_texts(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(table(spark, d, "documents"), hashing_encoder, "passage")
+    """Texts with a prefix, encoded and layer-normalized."""
+    e = encoded(table(spark, d, "documents"), hashing_encoder, "passage")
+    return e.withColumn("embedding", V.layer_norm(F.col("embedding")))
 
 
 @query

@@ -67,12 +67,34 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, dataset: str | None = None, k: int | None = None) -> DataFrame:
-    """Raw results of a dataset and k (by folder); files that cannot be read are passed over."""
+    """Raw results of a dataset and k (by folder); files that cannot be read are passed over: see unreadable."""
     rows = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", False).parquet(path)
     rows = rows if dataset is None else rows.filter(F.col("dataset") == dataset)
     return rows if k is None else rows.filter(F.col("k") == k)
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the Parquet files below path that read_results passes over, as their ends cannot be read."""
+    from vecquarry.sources.files import _place
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            bad = []
+            for p in b.column("path").to_pylist():
+                system, own = _place(p)
+                try:
+                    pq.read_metadata(own, filesystem=system)
+                except (pa.ArrowInvalid, OSError) as e:
+                    bad.append((p, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in bad], pa.string()) for i in range(2)], names=["path", "reason"])
+
+    return found.mapInArrow(run, "path string, reason string")
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Write unless there is something already."""
     df.write.mode("ignore").parquet(path)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import io
-import os
 import struct
 import tarfile
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -20,8 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 ROWS = 65_536
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file:")
+def _place(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path, which all machines must reach, and the path in it. Paths without a scheme are local."""
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path.removeprefix("file:"))
 
 
 class _Range(InputPartition):
@@ -33,7 +35,7 @@ class _VectorReader(DataSourceReader):
     """Ranges of rows of float32 matrices, one task a range; ids are row numbers, counted from `offset`."""
 
     def __init__(self, options: dict, header):
-        self.path, self.header = _local(options["path"]), header
+        self.path, self.header = options["path"], header
         self.offset, self.limit = int(options.get("offset", 0)), int(options.get("limit", -1))
 
     def partitions(self) -> list[InputPartition]:
@@ -43,9 +45,11 @@ class _VectorReader(DataSourceReader):
 
     def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         path, first, rows, d, at = part.value
-        with open(path, "rb") as f:
+        system, own = _place(path)
+        with system.open_input_file(own) as f:
             f.seek(at + 4 * d * first)
-            x = np.fromfile(f, np.float32, rows * d)
+            raw = f.read(4 * rows * d)
+        x = np.frombuffer(raw[: len(raw) // 4 * 4], np.float32)
         if len(x) < rows * d:
             raise ValueError(f"{path} ends early")
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * d + 1, max(d, 1), dtype=np.int32)[: rows + 1]), pa.array(x))
@@ -53,13 +57,15 @@ class _VectorReader(DataSourceReader):
 
 
 def _fbin_header(path: str) -> tuple[int, int, int]:
-    with open(path, "rb") as f:
+    system, own = _place(path)
+    with system.open_input_file(own) as f:
         n, d = struct.unpack("<ii", f.read(8))
     return n, d, 8
 
 
 def _npy_header(path: str) -> tuple[int, int, int]:
-    with open(path, "rb") as f:
+    system, own = _place(path)
+    with system.open_input_file(own) as f:
         version = np.lib.format.read_magic(f)
         shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
         if fortran or kind != np.float32 or len(shape) != 2:
@@ -97,24 +103,29 @@ class NpySource(FbinSource):
 
 class _FbinWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path = _local(options["path"])
+        self.path = options["path"]
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = _place(self.path)
+        system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        part = os.path.join(self.path, f"part-{context.partitionId():05d}.fbin")
+        part = f"{folder}/part-{context.partitionId():05d}.fbin"
         hidden, n, d = f"{part}.{context.taskAttemptId()}.tmp", 0, 0
-        with open(hidden, "wb") as f:
-            f.write(struct.pack("<ii", 0, 0))
+        with tempfile.TemporaryFile() as spool:  # the head says how many rows follow, which is known at the end
             for r in rows:
                 x = np.asarray(r["embedding"], np.float32)
                 n, d = n + 1, len(x)
-                f.write(x.tobytes())
-            f.seek(0)
-            f.write(struct.pack("<ii", n, d))
-        os.replace(hidden, part)  # a task that runs again replaces its own file
+                spool.write(x.tobytes())
+            spool.seek(0)
+            with system.open_output_stream(hidden) as f:
+                f.write(struct.pack("<ii", n, d))
+                while chunk := spool.read(1 << 20):
+                    f.write(chunk)
+        if system.get_file_info(part).type != FileType.NotFound:  # a task that runs again replaces its own file
+            system.delete_file(part)
+        system.move(hidden, part)
         return WriterCommitMessage()
 
     def commit(self, messages: list) -> None:
@@ -142,7 +153,7 @@ def write_fbin(df: DataFrame, path: str) -> None:
 def read_npy(spark: SparkSession, path: str, first: int = 0, drop_last: int = 0) -> DataFrame:
     """Rows from `first` on, without the last ones."""
     register(spark)
-    n = _npy_header(_local(path))[0]
+    n = _npy_header(path)[0]
     return spark.read.format("npy").option("offset", first).option("limit", max(0, n - first - drop_last)).load(path)
 
 
