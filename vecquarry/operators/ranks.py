@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
 def average_rank(partition: list[str], value: str, descending: bool = False) -> Column:
     """Rank in the partition, equal values sharing the mean of their ranks: two in first place have 1.5."""
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    return F.rank().over(Window.partitionBy(*partition).orderBy(order)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
+    w = Window.partitionBy(*partition).orderBy(F.col(value).desc() if descending else F.col(value).asc())
+    return F.rank().over(w) + (equals(w) - 1) / 2
+
+
+def equals(w: WindowSpec) -> Column:
+    """How many rows of an ordered window are equal to the current one in its order, itself included."""
+    return F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
 
 
 def fastest_at(summary: DataFrame, recall: float, k: int, by: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquarry.operators.ranks import average_rank
+from vecquarry.operators.ranks import equals
 from vecquarry.session import materialize
 
 
@@ -34,20 +34,23 @@ def wilcoxon(times: DataFrame) -> DataFrame:
     b = times.select("dataset", F.col("algorithm").alias("algorithm_b"), "query_index", F.col("time").alias("b"))
     pairs = a.join(b, ["dataset", "query_index"]).filter(F.col("algorithm_a") < F.col("algorithm_b"))
     key = ["dataset", "algorithm_a", "algorithm_b"]
-    means = pairs.groupBy(*key).agg(F.avg("a").alias("latency_a"), F.avg("b").alias("latency_b"))
-    d = pairs.withColumn("d", F.col("a") - F.col("b")).filter("d <> 0").withColumn("size", F.abs("d"))
-    ranks = d.withColumn("rank", average_rank(key, "size"))
-    ties = d.groupBy(*key, "size").agg(F.count("*").cast("double").alias("t")).groupBy(*key).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    sums = ranks.groupBy(*key).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus")
-    )
+    # one window and one aggregate of the same key: differences of zero, which come first by size, take no ranks
+    w = Window.partitionBy(*key)
+    d = pairs.withColumn("d", F.col("a") - F.col("b")).withColumn("size", F.abs("d"))
+    by_size, zeros = w.orderBy("size"), F.count_if(F.col("d") == 0).over(w)
+    t = equals(by_size)
+    ranked = d.withColumns({"rank": F.rank().over(by_size) + (t - 1) / 2 - zeros, "t": t.cast("double")})
+    of = lambda condition, value: F.sum(F.when(condition, value).otherwise(0.0))
+    differs = F.col("d") != 0
+    sums = ranked.groupBy(*key).agg(
+        F.count_if(differs).alias("n"), of(F.col("d") > 0, F.col("rank")).alias("w_plus"), of(F.col("d") < 0, F.col("rank")).alias("w_minus"),
+        of(differs, F.col("t") * F.col("t") - 1).alias("ties"), F.avg("a").alias("latency_a"), F.avg("b").alias("latency_b"),
+    )
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.abs(F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-    tested = sums.join(ties, key).withColumn("p", F.least(F.lit(1.0), 2 * normal_tail(z)))
-    return means.join(tested, key, "left").select(
-        *key, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("w_minus", F.lit(0.0)).alias("w_minus"), "latency_a", "latency_b", F.coalesce("p", F.lit(1.0)).alias("p_value")
-    )
+    p = F.coalesce(F.least(F.lit(1.0), 2 * normal_tail(z)), F.lit(1.0))
+    return sums.select(*key, "n", "w_plus", "w_minus", "latency_a", "latency_b", p.alias("p_value"))
 
 
 def holm(tests: DataFrame, by: list[str], order: list[str]) -> DataFrame:
