@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -47,14 +49,19 @@ def top_k(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return cols, np.take_along_axis(d, cols, 1)
 
 
-def nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, metric: str, k: int, digits: int, tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers of b, rounded distances) of the k nearest of each row of a, in tiles of b, so that no more than
-    len(a) * (tile + k) distances are held at once."""
-    best, near = np.empty((len(a), 0), int), np.empty((len(a), 0))
-    for at in range(0, len(b), tile):
-        d = np.round(distances(a, b[at : at + tile], metric), digits)
-        cols, found = top_k(d, ids[at : at + tile], k)
+def nearest_of(rows: int, ids: np.ndarray, k: int, digits: int, tile_of: Callable[[slice], np.ndarray], tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ids, rounded distances) of the k nearest of each row, ties by id, tile_of(slice of ids) being their
+    distances, so that no more than rows * (tile + k) distances are held at once."""
+    best, near = np.empty((rows, 0), int), np.empty((rows, 0))
+    for at in range(0, len(ids), tile):
+        some = slice(at, at + tile)
+        cols, found = top_k(np.round(tile_of(some), digits), ids[some], k)
         best, near = np.concatenate([best, cols + at], axis=1), np.concatenate([near, found], axis=1)
         by = np.lexsort((ids[best], near), axis=1)[:, :k]  # nan sorts last
         best, near = np.take_along_axis(best, by, 1), np.take_along_axis(near, by, 1)
     return best, near
+
+
+def nearest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, metric: str, k: int, digits: int, tile: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers of b, rounded distances) of the k nearest of each row of a, in tiles of b."""
+    return nearest_of(len(a), ids, k, digits, lambda some: distances(a, b[some], metric), tile)

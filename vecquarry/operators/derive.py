@@ -128,17 +128,24 @@ def multi_vector_sketch(tokens: DataFrame, bits: int = 3, seed: int = 3, sum_of:
     end to end, empty ones being zero."""
     import pandas as pd
 
-    def sketch(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["embedding"].to_numpy()).astype(float)
-        directions = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits))
-        bucket = (x @ directions > 0) @ (1 << np.arange(bits))
-        out = np.zeros((1 << bits, x.shape[1]))
-        np.add.at(out, bucket, x)
-        if not sum_of:
-            out /= np.maximum(np.bincount(bucket, minlength=1 << bits), 1)[:, None]
-        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "embedding": [out.ravel()]})
-
-    return tokens.groupBy("doc_id").applyInPandas(sketch, "doc_id bigint, embedding array<double>")
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for doc, rows in f.groupby("doc_id", sort=False):
+                x = np.stack(rows["embedding"].to_numpy()).astype(float)
+                directions = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], bits))
+                bucket = (x @ directions > 0) @ (1 << np.arange(bits))
+                out = np.zeros((1 << bits, x.shape[1]))
+                np.add.at(out, bucket, x)
+                yield pd.DataFrame({"doc_id": [doc], "n": [np.bincount(bucket, minlength=1 << bits)], "total": [out.ravel()]})
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        n, total = np.sum(rows["n"].tolist(), axis=0), np.sum(rows["total"].tolist(), axis=0).reshape(1 << bits, -1)
+        return pd.DataFrame({"doc_id": [rows["doc_id"].iloc[0]], "embedding": [(total if sum_of else total / np.maximum(n, 1)[:, None]).ravel()]})
+
+    # a row per document and batch of tokens: a document of any number of tokens is never held whole
+    kept = tokens.select("doc_id", "embedding").filter("doc_id IS NOT NULL AND embedding IS NOT NULL")
+    parts = kept.mapInPandas(partial, "doc_id bigint, n array<bigint>, total array<double>")
+    return parts.groupBy("doc_id").applyInPandas(together, "doc_id bigint, embedding array<double>")
 
 
 def offsets(tokens: DataFrame) -> DataFrame:

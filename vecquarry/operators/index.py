@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecquarry.functions import beams
-from vecquarry.functions.kernels import distances, matrix, prepare, top_k
+from vecquarry.functions.kernels import distances, matrix, nearest_of, prepare, top_k
 from vecquarry.operators.knn import DIGITS, knn, ranked, recall_ids, rescore
 from vecquarry.session import materialize
 
 SAMPLE = 20_000
 #: Rows of a bucket that one task takes; larger buckets are split.
 PIECE = 50_000
+#: Queries of a bucket that one task takes.
+ASKS = 2_000
 #: Rows of a shard of neighbour graphs.
 SHARD = 20_000
 #: Bytes of learnt arrays that may be sent to every task.
@@ -78,20 +80,22 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, make: Callable[[np.nd
 def bucket_search(queries: DataFrame, corpus: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, payload: str = "embedding") -> DataFrame:
     """(qid, vec_id, distance) of the k best per query and piece of a bucket, of queries (bucket, qid, embedding) and
     corpus (bucket, vec_id, payload) rows in the same bucket. Buckets of more than PIECE rows are split by a hash of
-    vec_id, and their queries copied to each piece."""
+    vec_id and those of more than ASKS queries by one of qid; each piece meets each block of queries, in tiles."""
     pieces = corpus.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    right = corpus.join(pieces, "bucket").select("bucket", F.pmod(F.xxhash64("vec_id"), F.col("pieces").cast("bigint")).cast("int").alias("piece"), "vec_id", F.col(payload).alias("payload"))
-    left = queries.join(pieces, "bucket").select(F.col("bucket").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("qp"), "qid", "embedding")
+    pieces = pieces.join(queries.groupBy("bucket").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("blocks")), "bucket")
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = corpus.join(pieces, "bucket").select("bucket", part("vec_id", "pieces").alias("piece"), every("blocks").alias("block"), "vec_id", F.col(payload).alias("payload"))
+    left = queries.join(pieces, "bucket").select(F.col("bucket").alias("qb"), every("pieces").alias("qp"), part("qid", "blocks").alias("qk"), "qid", "embedding")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "vec_id": [], "distance": []})
-        ids = b["vec_id"].to_numpy()
-        d = np.round(score(matrix(a["embedding"]), matrix(b["payload"])), DIGITS)
-        cols, near = top_k(d, ids, k)
+        ids, x, y = b["vec_id"].to_numpy(), matrix(a["embedding"]), matrix(b["payload"])
+        cols, near = nearest_of(len(x), ids, k, DIGITS, lambda some: score(x, y[some]))
         return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), cols.shape[1]), "vec_id": ids[cols].ravel(), "distance": near.ravel()})
 
-    found = left.groupBy("qb", "qp").cogroup(right.groupBy("bucket", "piece")).applyInPandas(search, "qid bigint, vec_id bigint, distance double")
+    found = left.groupBy("qb", "qp", "qk").cogroup(right.groupBy("bucket", "piece", "block")).applyInPandas(search, "qid bigint, vec_id bigint, distance double")
     return found.groupBy("qid", "vec_id").agg(F.min("distance").alias("distance"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from vecquarry.operators import derive, drift, index, knn, ranks, significance,
 from vecquarry.operators.ordered import positions
 from vecquarry.oracle import ORACLE  # noqa: F401
 from vecquarry.plans import export, grid, report, runner, suite
-from vecquarry.session import materialize, shared_dir, table
+from vecquarry.session import materialize, scratch, table
 from vecquarry.sources import datasets, files, recipes
 from vecquarry.sources.datasets import encoded, hashing_encoder, text_dataset
 from vecquarry.streaming import windows
@@ -530,7 +529,7 @@ def dataset_builds(spark: SparkSession, d: str) -> DataFrame:
 def _exported(spark: SparkSession, d: str) -> tuple[export.Export, DataFrame]:
     """Two raw runs of inverted lists, whose times are given by the distances computed, and one without a speed."""
     i, q = _ivf(spark, d, 1)
-    path, truth = _place(spark, "raw"), knn.knn(q, i.corpus, "euclidean", 10).withColumn("dataset", F.lit("embeddings"))
+    path, truth = scratch(spark, "raw"), knn.knn(q, i.corpus, "euclidean", 10).withColumn("dataset", F.lit("embeddings"))
     for n in (1, 2):
         i.set_query_arguments(n_probe=n)
         raw = runner.padded(i.query(q, 10), q, 10).join(i.distance_computations(q), "qid")
@@ -539,7 +538,7 @@ def _exported(spark: SparkSession, d: str) -> tuple[export.Export, DataFrame]:
         datasets.write_results(raw.withColumns({"best_search_time": F.lit(float(n)), "best_qps": F.lit(None).cast("double")}).drop("dist_comps"), path)
         if n == 2:
             datasets.write_results(raw.withColumns({"best_search_time": F.lit(None).cast("double"), "best_qps": F.lit(None).cast("double"), "run": F.lit("bad")}).drop("dist_comps"), path)
-    return export.export(spark, path, truth, _place(spark, "export")), truth
+    return export.export(spark, path, truth, scratch(spark, "export")), truth
 
 
 @query
@@ -630,21 +629,17 @@ def cpu_ranges(spark: SparkSession, d: str) -> DataFrame:
 # Files and folders, written to the shared folder and read again
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def fbin_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All vectors through one file of rows, dimension and numbers, whose row numbers are the ids."""
-    path = _place(spark, "fbin")
+    path = scratch(spark, "fbin")
     files.write_fbin(_corpus(spark, d).coalesce(1).sortWithinPartitions("vec_id"), path)
     return files.read_fbin(spark, f"{path}/part-00000.fbin").withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
 @query
 def glove_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = _place(spark, "glove")
+    path = scratch(spark, "glove") + "/lines"
     _corpus(spark, d).select(F.concat_ws(" ", F.concat(F.lit("w"), "vec_id"), F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("value")).write.text(path)
     return files.read_glove(spark, path).withColumn("embedding", F.col("embedding").cast("array<double>"))
 
@@ -652,7 +647,7 @@ def glove_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dataset_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Ground truth of a dataset with the asking vectors as its test part, as written with it."""
-    path, c = _place(spark, "dataset"), _corpus(spark, d)
+    path, c = scratch(spark, "dataset"), _corpus(spark, d)
     datasets.write_dataset(spark, path, "embeddings-64-euclidean", c, _asking(c).withColumnRenamed("qid", "vec_id"), "euclidean", "float", 10)
     train, test, _ = datasets.read_dataset(spark, path)
     near = spark.read.parquet(f"{path}/neighbours").join(spark.read.parquet(f"{path}/distances"), "qid")
@@ -662,7 +657,7 @@ def dataset_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query
 def results_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Results of two runs, of which one is written twice."""
-    path = _place(spark, "results")
+    path = scratch(spark, "results")
     o = table(spark, d, "orders").select(F.lit("d").alias("dataset"), F.lit(10).alias("k"), F.lit("a").alias("algorithm"), F.concat(F.lit("run"), "o_orderstatus").alias("run"), F.col("o_orderkey").alias("qid"), F.col("o_totalprice").alias("time"))
     datasets.write_results(o, path)
     datasets.write_results(o.filter("run = 'runO'").withColumn("time", F.col("time") * 2), path)
