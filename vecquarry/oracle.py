@@ -270,3 +270,17 @@ def _recipes() -> str:
 ORACLE["dataset_recipes"] = _recipes()
 ORACLE["contrast_ridge"] = f"""WITH rc AS (SELECT label::VARCHAR AS dataset, ln(rc10) AS c FROM ({ORACLE["query_stats"]}) s JOIN embeddings ON qid = vec_id WHERE rc10 >= 1), g AS (SELECT range * 3.5::DOUBLE / 999 AS x FROM range(0, 1000))
     SELECT dataset, round(x, 6) AS x, round(avg(exp(-(x - c) * (x - c) / (2 * 0.05::DOUBLE * 0.05::DOUBLE))) / (0.05::DOUBLE * sqrt(2 * pi())), 6) AS density FROM rc, g GROUP BY ALL"""
+ORACLE["npy_round_trip"] = "SELECT r AS vec_id, embedding::DOUBLE[] AS embedding FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n, embedding FROM embeddings) WHERE r >= 1 AND r < n - 2"
+ORACLE["corpus_lines"] = "SELECT doc_id::VARCHAR AS id, md5(trim(coalesce(source, '') || ' ' || coalesce(text, ''), ' ')) AS text FROM documents"
+ORACLE["first_captions"] = "SELECT n_regionkey::BIGINT AS image_id, arg_min(n_name, n_nationkey) AS caption FROM nation GROUP BY n_regionkey"
+ORACLE["learn_round_trip"] = f"""WITH c AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS qid, e AS x FROM c WHERE vec_id % 20 = 7)
+    SELECT qid AS learn_id, rank, vec_id FROM ({nearest(DISTANCE["euclidean"], 5)})"""
+ORACLE["rows_in_range"] = "SELECT vec_id FROM embeddings WHERE vec_id >= 100 AND vec_id < 150"
+ORACLE["resplit_parts"] = "SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY md5(vec_id || ':1'), vec_id) <= 100 THEN 'test' ELSE 'train' END AS part FROM (SELECT DISTINCT vec_id FROM vectors WHERE part = 'train')"
+ORACLE["mahalanobis_given"] = """WITH s AS (SELECT vec_id, list_sum(embedding::DOUBLE[]) AS s, list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v)) AS ss FROM embeddings)
+    SELECT vec_id, round(sqrt((ss - s * s / 66) / 2), 6) AS distance FROM s"""
+ORACLE["frechet_shift"] = "SELECT round(sqrt(max(len(embedding)) * 0.0625::DOUBLE), 4) AS distance FROM embeddings"
+ORACLE["search_recalls"] = """SELECT search, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS queries, true AS reached FROM (VALUES ('ivf_kmeans_search'), ('ivf_sq8_search'), ('ivf_pq_search'), ('ivf_bits_search'),
+    ('lsh_search'), ('tree_search'), ('tree_supervised_search'), ('graph_search'), ('lowrank_search')) t(search)"""
+ORACLE["events_streamed"] = ORACLE["events_tumbling"]
+ORACLE["sessions_streamed"] = ORACLE["events_sessions"]

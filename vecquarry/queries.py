@@ -197,6 +197,23 @@ def graph_prune(spark: SparkSession, d: str) -> DataFrame:
     return index.prune(index.knn_graph(c, 16, "euclidean", found), c, 8, "euclidean", 1.0)
 
 
+SEARCHES = ["ivf_kmeans_search", "ivf_sq8_search", "ivf_pq_search", "ivf_bits_search", "lsh_search", "tree_search", "tree_supervised_search", "graph_search", "lowrank_search"]
+
+
+@query
+def search_recalls(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each approximate search finds at least 0.9 of the ten true neighbours, and how many queries it answers."""
+    c = materialize(_corpus(spark, d))
+    truth = {m: materialize(knn.knn(_asking(c), c, m, 10)) for m in ("euclidean", "cosine")}
+    rows = None
+    for name in SEARCHES:
+        found = QUERIES[name](spark, d)
+        r = knn.recall_ids(found, truth["cosine" if name == "lsh_search" else "euclidean"], 10)
+        one = r.agg(F.lit(name).alias("search"), F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("reached"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 # Deriving datasets
 
 
@@ -269,6 +286,22 @@ def mahalanobis_full(spark: SparkSession, d: str) -> DataFrame:
     return stats.mahalanobis(c, mean, cov)
 
 
+@query
+def mahalanobis_given(spark: SparkSession, d: str) -> DataFrame:
+    """Distances under a given covariance, of 3 on the diagonal and 1 elsewhere."""
+    import numpy as np
+
+    return stats.mahalanobis(_corpus(spark, d), np.zeros(64), 2 * np.eye(64) + 1).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def frechet_shift(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of the vectors from themselves moved by a quarter in every dimension."""
+    c = _corpus(spark, d)
+    moved = c.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.25)))
+    return spark.createDataFrame([(round(stats.frechet(c.withColumn("embedding", F.col("embedding").cast("array<double>")), moved.withColumn("embedding", F.col("embedding").cast("array<double>"))), 4),)], "distance double")
+
+
 @query
 def covariance(spark: SparkSession, d: str) -> DataFrame:
     _, _, cov = stats.covariance(_corpus(spark, d))
@@ -637,6 +670,53 @@ def fbin_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_fbin(spark, f"{path}/part-00000.fbin").withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
+@query
+def npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a matrix as numpy saves it, without its first and its last two rows."""
+    path = scratch(spark, "npy")
+    files.write_npy(_corpus(spark, d).coalesce(1).sortWithinPartitions("vec_id"), path)
+    return files.read_npy(spark, f"{path}/part-00000.npy", 1, 2).withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+@query
+def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through JSON lines of id, title and text."""
+    path = scratch(spark, "lines") + "/json"
+    table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("title"), "text").write.json(path)
+    return files.read_corpus(spark, path).select("id", F.md5("text").alias("text"))
+
+
+@query
+def first_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed 25 nations as captions of their regions, in one JSON document: the first caption of each."""
+    path = scratch(spark, "captions") + "/json"
+    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_regionkey", "n_name")))
+    item = lambda x: F.struct(x["n_regionkey"].cast("bigint").alias("image_id"), x["n_name"].alias("caption"))
+    table(spark, d, "nation").agg(rows.alias("l")).select(F.transform("l", item).alias("annotations")).write.json(path)
+    return files.read_captions(spark, path)
+
+
+@query
+def learn_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of learn vectors, as written with their dataset."""
+    path, c = scratch(spark, "learn"), _corpus(spark, d)
+    learn = c.filter("vec_id % 20 = 7")
+    datasets.write_dataset(spark, path, "embeddings-64-euclidean", c, _asking(c).withColumnRenamed("qid", "vec_id"), "euclidean", "float", 5, learn)
+    vectors, near = datasets.read_learn(spark, path)
+    return near.join(vectors.select(F.col("vec_id").alias("learn_id")), "learn_id").select("learn_id", "rank", "vec_id")
+
+
+@query
+def rows_in_range(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.row_range(_corpus(spark, d), 100, 50).select("vec_id")
+
+
+@query
+def resplit_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Test rows drawn anew from the train rows of all datasets."""
+    return derive.resplit(table(spark, d, "vectors").dropDuplicates(["vec_id"]).select("vec_id", "part"), 100).select("vec_id", "part")
+
+
 @query
 def glove_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "glove") + "/lines"
@@ -805,3 +885,20 @@ def events_sliding(spark: SparkSession, d: str) -> DataFrame:
 def events_sessions(spark: SparkSession, d: str) -> DataFrame:
     w = windows.sessions(table(spark, d, "events"))
     return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query
+def events_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The tumbling windows of the events, read as a stream of files."""
+    folder, events = scratch(spark, "stream"), table(spark, d, "events")
+    events.repartition(4).write.parquet(f"{folder}/in")
+    w = windows.streamed(spark, f"{folder}/in", events.schema, folder)
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def sessions_streamed(spark: SparkSession, d: str) -> DataFrame:
+    folder, events = scratch(spark, "stream"), table(spark, d, "events")
+    events.repartition(3).write.parquet(f"{folder}/in")
+    w = windows.streamed(spark, f"{folder}/in", events.schema, folder, windows.sessions)
+    return w.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))

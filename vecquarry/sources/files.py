@@ -7,7 +7,7 @@ import struct
 import tarfile
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,7 +87,7 @@ class FbinSource(DataSource):
         return _VectorReader(self.options, _fbin_header)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _FbinWriter(self.options)
+        return _VectorWriter(self.options, "fbin", lambda n, d: struct.pack("<ii", n, d))
 
 
 class NpySource(FbinSource):
@@ -100,10 +100,21 @@ class NpySource(FbinSource):
     def reader(self, schema) -> DataSourceReader:
         return _VectorReader(self.options, _npy_header)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _VectorWriter(self.options, "npy", _npy_head)
+
+
+def _npy_head(n: int, d: int) -> bytes:
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": (n, d)})
+    return head.getvalue()
+
 
-class _FbinWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+class _VectorWriter(DataSourceWriter):
+    """A file a task: a head that says how many rows of how many numbers follow, and the rows."""
+
+    def __init__(self, options: dict, suffix: str, head: Callable[[int, int], bytes]):
+        self.path, self.suffix, self.head = options["path"], suffix, head
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -111,7 +122,7 @@ class _FbinWriter(DataSourceWriter):
         system, folder = _place(self.path)
         system.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        part = f"{folder}/part-{context.partitionId():05d}.fbin"
+        part = f"{folder}/part-{context.partitionId():05d}.{self.suffix}"
         hidden, n, d = f"{part}.{context.taskAttemptId()}.tmp", 0, 0
         with tempfile.TemporaryFile() as spool:  # the head says how many rows follow, which is known at the end
             for r in rows:
@@ -120,7 +131,7 @@ class _FbinWriter(DataSourceWriter):
                 spool.write(x.tobytes())
             spool.seek(0)
             with system.open_output_stream(hidden) as f:
-                f.write(struct.pack("<ii", n, d))
+                f.write(self.head(n, d))
                 while chunk := spool.read(1 << 20):
                     f.write(chunk)
         if system.get_file_info(part).type != FileType.NotFound:  # a task that runs again replaces its own file
@@ -145,9 +156,13 @@ def read_fbin(spark: SparkSession, path: str, offset: int = 0, limit: int = -1)
     return spark.read.format("fbin").option("offset", offset).option("limit", limit).load(path)
 
 
-def write_fbin(df: DataFrame, path: str) -> None:
+def write_fbin(df: DataFrame, path: str, kind: str = "fbin") -> None:
     register(df.sparkSession)
-    df.select("vec_id", "embedding").write.format("fbin").mode("append").save(path)
+    df.select("vec_id", "embedding").write.format(kind).mode("append").save(path)
+
+
+def write_npy(df: DataFrame, path: str) -> None:
+    write_fbin(df, path, "npy")
 
 
 def read_npy(spark: SparkSession, path: str, first: int = 0, drop_last: int = 0) -> DataFrame:

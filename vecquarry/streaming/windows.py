@@ -39,3 +39,13 @@ def running_queries(spark: SparkSession, folder: str, schema, checkpoint: str, n
     query = make(stream, late=late, **options).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def streamed(spark: SparkSession, folder: str, schema, out: str, make=tumbling, **options) -> DataFrame:
+    """All files that are in a folder as a stream through a window function, every window kept open to the end; the
+    result of the last batch replaces that of the one before in out/result."""
+    windowed = make(spark.readStream.schema(schema).parquet(folder), **options)
+    write = lambda df, _: df.write.mode("overwrite").parquet(f"{out}/result")
+    query = windowed.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/result")
