@@ -66,3 +66,5 @@ ORACLE["p9_statistics"] = f"""WITH given AS (SELECT word FROM common_words WHERE
     sums AS (SELECT doc_id, sum(len(words)) AS words, sum(letters) AS letters, sum(symbols) AS symbols, sum(chars) AS chars, avg(ends) AS ends, sum(len(list_filter(words, lambda w: list_contains(ws, w)))) AS common FROM counted, known_list GROUP BY doc_id)
     SELECT doc_id, coalesce(words, 0)::BIGINT AS words, round(letters / nullif(words, 0), 9) AS mean_word_length, round(symbols / chars, 9) AS symbol_ratio, round(ends, 9) AS ending_share, round(common / nullif(words, 0), 9) AS common_share
     FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN sums USING (doc_id)"""
+ORACLE["p4_bounds"] = f"WITH {TIMES} SELECT dataset, algorithm, count(*) AS n, true AS p50, true AS p90, true AS p99, true AS p99_9 FROM times GROUP BY ALL"
+ORACLE["p8_checks"] = "SELECT t.source, target_weight, max_repeats, count(doc_id) AS docs, true AS met, true AS within FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY ALL"

@@ -46,6 +46,18 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "n", *[F.col("quantiles")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(PROBABILITIES)])
 
 
+def p4_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the ranks of the combined percentiles are within half a percent of the distance from the top, give or take
+    one value: of each percentile, the values below and up to it are counted."""
+    times = quantiles.measured_times(table(spark, d, "detail"))
+    q = p4_percentiles(spark, d)
+    names = [f"p{p * 100:g}".replace(".", "_") for p in PROBABILITIES]
+    at = times.withColumn("time", F.col("time").cast("double")).join(q, ["dataset", "algorithm"])
+    counted = at.groupBy("dataset", "algorithm", "n").agg(*[F.struct(F.count_if(F.col("time") < F.col(c)).alias("low"), F.count_if(F.col("time") <= F.col(c)).alias("high")).alias(c) for c in names])
+    off = lambda p, c: F.greatest(F.lit(0.0), F.col(c)["low"] - p * F.col("n"), p * F.col("n") - F.col(c)["high"])
+    return counted.select("dataset", "algorithm", "n", *[(off(p, c) <= 0.005 * (1 - p) * F.col("n") + 1).alias(c) for p, c in zip(PROBABILITIES, names)])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["dataset", "algorithm"]
     merged = quantiles.merge_sketches(quantiles.sketches(quantiles.measured_times(table(spark, d, "detail")), keys, "time"), keys)
@@ -80,7 +92,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_daily, p4_percentiles, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source asked for: its documents, and whether its share is reached within its longest document and no document
+    is repeated more often than allowed."""
+    m = _mixture(spark, d)
+    longest = m.documents.groupBy("source").agg(F.max("tokens").alias("longest"))
+    s = m.shares.join(longest, "source", "left")
+    met = F.abs(F.col("mixed_tokens") - F.col("target_tokens")) <= F.coalesce("longest", F.lit(0))
+    return s.select("source", "target_weight", "max_repeats", "docs", met.alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p4_found, p4_daily, p4_percentiles, p4_bounds, p8_checks, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
