@@ -36,7 +36,7 @@ KINDS = ["number", "string", "boolean", "array of numbers", "array of strings"]
 MOST_LINKS = 1_000_000
 
 FILE = "file_id bigint, dataset string, algorithm string, written_at timestamp_ntz"
-ENTRY = "array<struct<path: string, type: string, numbers: array<double>, value: string>>"
+ENTRY = "array<struct<path: string, type: string, numbers: array<double>>>"
 
 
 def _no_constant(name: str):
@@ -86,25 +86,29 @@ def _numbers(value) -> list[float]:
     return []
 
 
-def flatten(found: dict) -> list[tuple[str, str | None, list[float], str]]:
-    """(dotted path, type, numbers, JSON) of every field that is no object."""
-    out, todo = [], [("", found)]
+def leaves(found: dict) -> Iterator[tuple[str, object]]:
+    """(dotted path, value) of every field that is no object."""
+    todo = [("", found)]
     while todo:
         prefix, level = todo.pop()
         for key, value in level.items():
             if isinstance(value, dict):
                 todo.append((f"{prefix}{key}.", value))
             else:
-                out.append((prefix + key, type_of(value), _numbers(value), json.dumps(value, ensure_ascii=False)))
-    return out
+                yield prefix + key, value
+
+
+def flatten(found: dict) -> list[tuple[str, str | None, list[float]]]:
+    """(dotted path, type, numbers) of every field that is no object."""
+    return [(path, type_of(value), _numbers(value)) for path, value in leaves(found)]
 
 
 def read_files(results: DataFrame) -> DataFrame:
-    """(file_id, dataset, algorithm, written_at, paths, entries) of every file whose body is a JSON object, each file_id
+    """(file_id, dataset, algorithm, written_at, body, paths, entries) of every file whose body is a JSON object, each file_id
     once (as first delivered). Null file_ids are left out; null datasets and algorithms make a series of their own."""
     kept = F.struct("dataset", "algorithm", "written_at", "body")
     once = results.filter(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min_by(kept, F.struct(F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz")), "body")).alias("f"))
-    item = [("path", pa.string()), ("type", pa.string()), ("numbers", pa.list_(pa.float64())), ("value", pa.string())]
+    item = [("path", pa.string()), ("type", pa.string()), ("numbers", pa.list_(pa.float64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,9 +120,9 @@ def read_files(results: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, [n for n, _ in item]))
             kept = b.filter(pa.array([o is not None for o in found], pa.bool_()))
             paths = pa.ListArray.from_arrays(pa.array(ends), columns[0])
-            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in kept.schema.names[:-1]], paths, lists], names=[*kept.schema.names[:-1], "paths", "entries"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, paths, lists], names=[*kept.schema.names, "paths", "entries"])
 
-    return once.select("file_id", "f.dataset", "f.algorithm", "f.written_at", "f.body").mapInArrow(run, f"{FILE}, paths array<string>, entries {ENTRY}")
+    return once.select("file_id", "f.dataset", "f.algorithm", "f.written_at", "f.body").mapInArrow(run, f"{FILE}, body string, paths array<string>, entries {ENTRY}")
 
 
 def words_of(name: str) -> list[str]:
@@ -398,6 +402,25 @@ def match(files: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
     return files.select(*keys, "paths", "entries").mapInArrow(run, f"{FILE}, field string, path string, type string, numbers array<double>")
 
 
+def others(files: DataFrame, columns: DataFrame) -> DataFrame:
+    """(file_id, others): the fields of (file_id, body, asked) whose paths are not in asked, as JSON by the names of their
+    columns, of which the first path counts."""
+    column = {r["path"]: r["column"] for r in _bounded(columns.select("path", "column"), "names")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for body, asked in zip(b.column("body").to_pylist(), b.column("asked").to_pylist()):
+                own: dict[str, str] = {}
+                for path, value in sorted(leaves(parse_object(body) or {}), key=lambda x: x[0]):
+                    if path not in (asked or ()):
+                        own.setdefault(column[path], json.dumps(value, ensure_ascii=False))
+                out.append(sorted(own.items()))
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), pa.array(out, pa.map_(pa.string(), pa.string()))], names=["file_id", "others"])
+
+    return files.mapInArrow(run, "file_id bigint, others map<string,string>")
+
+
 def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     """The consistent table of all files and every change of the fields between successive files of a series.
 
@@ -447,10 +470,8 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
         *[F.first(c, ignorenulls=True).alias(c) for c in ("dataset", "algorithm", "written_at")],
         *[how[h](F.first(F.when(F.col("field") == f, F.col("v")), ignorenulls=True)).alias(f) for f, h in fields.items()],
     )
-    entry = files.select("file_id", F.inline("entries")).join(found.select("path", "column"), "path")
-    asked = matched.filter(F.col("path").isNotNull()).select("file_id", "path")
-    rest = entry.join(asked, ["file_id", "path"], "left_anti").groupBy("file_id", "column").agg(F.min("value").alias("value"))
-    rest = rest.groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "value")))).alias("others"))
+    asked = matched.filter(F.col("path").isNotNull()).groupBy("file_id").agg(F.collect_list("path").alias("asked"))
+    rest = others(files.select("file_id", "body").join(asked, "file_id", "left"), found)
     kinds = F.filter(F.arrays_zip(F.array(*map(F.lit, KINDS)).alias("kind"), F.col("types").alias("share")), lambda x: x["share"] > 0)
     report = found.select("column", "path", "files", F.transform(kinds, lambda x: x["kind"]).alias("types"))
     return Drift(table.join(rest, "file_id", "left"), changes.unionByName(types), report)
