@@ -212,16 +212,30 @@ class Drift:
     columns: DataFrame
 
 
-def profile(files: DataFrame) -> DataFrame:
-    """(path, files, types, sketch) of every path: the files it is in, the share of each of KINDS among those with a type,
-    and the QUANTILES of the values' logarithms (the mean within a file), null if it has no values."""
+@dataclass
+class Profile:
+    """A path over all files: the files it is in, the share of each of KINDS among those with a type, the QUANTILES of the
+    values' logarithms in base units (the mean within a file; None if it has no values), and its column once found."""
+
+    files: int
+    types: np.ndarray
+    sketch: np.ndarray | None
+    column: str = ""
+
+
+def profile(files: DataFrame) -> dict[str, Profile]:
+    """The profile of every path, of which there may be MOST_LINKS."""
     long = files.select(F.inline("entries")).select("path", "type", "numbers")
     logs = F.transform(F.filter("numbers", lambda x: x != 0), lambda x: F.log10(F.abs(x)))
     log = F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(logs), F.lit(0))
-    typed = F.nullif(F.count("type"), F.lit(0))
-    kinds = F.array(*[F.count_if(F.col("type") == k) / typed for k in KINDS])
+    kinds = F.array(*[F.count_if(F.col("type") == k) for k in KINDS])
     stats = long.select("path", "type", log.alias("log")).groupBy("path")
-    return stats.agg(F.count("*").alias("files"), kinds.alias("types"), F.percentile_approx("log", QUANTILES, 1000).alias("sketch"))
+    stats = stats.agg(F.count("*").alias("files"), F.count("type").alias("typed"), kinds.alias("types"), F.percentile_approx("log", QUANTILES, 1000).alias("sketch"))
+    out = {}
+    for r in _bounded(stats, "names"):
+        sketch = None if r["sketch"] is None else np.array(r["sketch"]) + math.log10(unit_scale(r["path"]))
+        out[r["path"]] = Profile(r["files"], np.array(r["types"]) / max(1, r["typed"]), sketch, r["path"])
+    return out
 
 
 def together(files: DataFrame) -> DataFrame:
@@ -247,63 +261,51 @@ def together(files: DataFrame) -> DataFrame:
     return files.select("paths").mapInArrow(run, "a string, b string, both bigint").groupBy("a", "b").agg(F.sum("both").alias("both"))
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: np.ndarray | None, b: np.ndarray | None) -> float | None:
     """The mean distance of two sketches in powers of ten."""
-    gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    return F.aggregate(gaps, F.lit(0.0), lambda x, y: x + y) / F.lit(len(QUANTILES))
-
-
-def _in_base_units(paths: DataFrame) -> DataFrame:
-    scale = F.pandas_udf(lambda p: pd.Series([math.log10(unit_scale(x)) for x in p]), "double")
-    return paths.withColumn("__u", scale("path")).withColumn("sketch", F.transform("sketch", lambda x: x + F.col("__u"))).drop("__u")
-
-
-def gains(pairs: DataFrame, profiles: DataFrame, beside: DataFrame, n_files: int) -> DataFrame:
-    """(old, new, gain) of the pairs of names that may be of one column: alike in name, types and values, hardly ever in
-    one file. Names that share nothing need the stronger evidence of ALIKE_LEAST and EXPECTED_LEAST."""
-    similar = F.pandas_udf(lambda a, b: pd.Series([max(name_similarity(x, y), name_similarity(y, x)) for x, y in zip(a, b)]), "double")
-    side = lambda c: profiles.select(F.col("path").alias(c), F.col("files").alias(f"{c}_files"), F.col("types").alias(f"{c}_types"), F.col("sketch").alias(f"{c}_sketch"))
-    known = pairs.withColumns({"a": F.least("old", "new"), "b": F.greatest("old", "new")}).join(beside, ["a", "b"], "left")
-    known = known.join(side("old"), "old").join(side("new"), "new").withColumn("name", similar("old", "new"))
-    shared = F.zip_with("old_types", "new_types", lambda x, y: F.least(x, y))
-    known = known.withColumns({"both": F.coalesce("both", F.lit(0)), "apart": _apart("old_sketch", "new_sketch"), "types": F.coalesce(F.aggregate(shared, F.lit(0.0), lambda x, y: x + y), F.lit(0.0))})
-    values = 1 / (1 + F.coalesce("apart", F.lit(1.0)))
-    alone = F.col("both") <= F.lit(BESIDE_MOST) * F.least("old_files", "new_files")
-    near = F.coalesce(F.col("apart") <= DECADES_MOST, F.lit(True))
-    expected = F.col("old_files") * F.col("new_files") / F.lit(max(1, n_files))
-    strong = (F.col("both") == 0) & (expected >= EXPECTED_LEAST) & (F.least(values, F.col("types")) >= ALIKE_LEAST)
-    may = alone & near & ((F.col("name") >= NAME_LEAST) | strong)
-    return known.filter(may).select("old", "new", (F.col("name") + F.col("types") / 2 + values / 2).alias("gain"))
-
-
-def renames(files: DataFrame, placed: DataFrame, profiles: DataFrame, beside: DataFrame, n_files: int) -> DataFrame:
-    """(old, new, files): how often one name was put in the place of another between successive files of a series.
-
-    A version is the set of a file's paths. The paths that go and those that come from one version to the next are
-    matched one to one with the largest total gain; each two versions are matched once, however many files change so.
-    """
+    return None if a is None or b is None else float(np.abs(a - b).mean())
+
+
+def likeness(a: str, b: str, profiles: dict[str, Profile], n_files: int) -> tuple[float, bool]:
+    """(gain, needs) of two names for being of one column, but for the files they are in together: 0 if they are not alike
+    enough in name, types and values. needs: they share no words, so that they must never be in one file though so many
+    files with both were to be expected by chance."""
+    x, y = profiles[a], profiles[b]
+    apart = _apart(x.sketch, y.sketch)
+    if apart is not None and apart > DECADES_MOST:
+        return 0.0, False
+    name, types, values = max(name_similarity(a, b), name_similarity(b, a)), float(np.minimum(x.types, y.types).sum()), 1 / (1 + (1.0 if apart is None else apart))
+    strong = x.files * y.files / max(1, n_files) >= EXPECTED_LEAST and min(values, types) >= ALIKE_LEAST
+    return (name + types / 2 + values / 2, name < NAME_LEAST) if name >= NAME_LEAST or strong else (0.0, False)
+
+
+def _beside(a: str, b: str, both: dict[tuple[str, str], int]) -> int:
+    return both.get((min(a, b), max(a, b)), 0)
+
+
+def versions_of(placed: DataFrame) -> DataFrame:
+    """(version, gone, come, files): what goes and comes from one version to the next in any series, and in how many files.
+    A version is the set of a file's paths; each two are taken once, however many files change so."""
     series = ["dataset", "algorithm"]
     before = placed.select(*[F.col(c).alias(f"p_{c}") for c in [*series, "place", "paths"]])
     same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in series] + [F.col("place") == F.col("p_place") + 1]
     steps = placed.join(before, same).select(F.array_sort(F.array_except("p_paths", "paths")).alias("gone"), F.array_sort(F.array_except("paths", "p_paths")).alias("come"))
-    versions = steps.filter((F.size("gone") > 0) & (F.size("come") > 0)).groupBy("gone", "come").agg(F.count("*").alias("files"))
-    versions = materialize(versions.withColumn("version", F.monotonically_increasing_id()))
-    long = versions.select("version", F.explode("gone").alias("old"), "come").select("version", "old", F.explode("come").alias("new"))
-    gain = materialize(gains(long.select("old", "new").distinct(), profiles, beside, n_files))
+    return materialize(steps.filter((F.size("gone") > 0) & (F.size("come") > 0)).groupBy("gone", "come").agg(F.count("*").alias("files")))
+
+
+def renames(versions: DataFrame, gain: dict[tuple[str, str], float]) -> DataFrame:
+    """(old, new, files): how often one name was put in the place of another. The paths that go and those that come between
+    two versions are matched one to one with the largest total gain."""
 
-    def pick(lists: pd.Series) -> pd.Series:
+    def pick(gone: pd.Series, come: pd.Series) -> pd.Series:
         out = []
-        for pairs in lists:
-            olds, news = sorted({x["old"] for x in pairs}), sorted({x["new"] for x in pairs})
-            matrix = np.zeros((len(olds), len(news)))
-            for x in pairs:
-                matrix[olds.index(x["old"]), news.index(x["new"])] = x["gain"]
-            out.append([{"old": olds[i], "new": news[j]} for i, j in enumerate(assign(matrix)) if j >= 0])
+        for olds, news in zip(gone, come):
+            matrix = np.array([[gain.get((a, b), 0.0) for b in news] for a in olds])
+            out.append([{"old": olds[i], "new": news[j]} for i, j in enumerate(assign(matrix)) if j >= 0] if matrix.any() else [])
         return pd.Series(out)
 
-    chosen = long.join(gain, ["old", "new"]).groupBy("version").agg(F.collect_list(F.struct("old", "new", "gain")).alias("pairs"))
-    chosen = chosen.select("version", F.explode(F.pandas_udf(pick, "array<struct<old: string, new: string>>")("pairs")).alias("m"))
-    return chosen.join(versions.select("version", "files"), "version").groupBy("m.old", "m.new").agg(F.sum("files").alias("files"))
+    chosen = versions.select("files", F.explode(F.pandas_udf(pick, "array<struct<old: string, new: string>>")("gone", "come")).alias("m"))
+    return chosen.groupBy("m.old", "m.new").agg(F.sum("files").alias("files"))
 
 
 def columns_of(files: dict[str, int], links: list[tuple[str, str, int]], beside: dict[tuple[str, str], int]) -> dict[str, str]:
@@ -327,57 +329,63 @@ def _bounded(df: DataFrame, what: str) -> list:
     return rows
 
 
-def find_columns(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path, column, files, types, sketch) of every path, (a, b, both) of paths in one file, and the files with their
-    places in their series. Names of the same words in another spelling are linked wherever they occur; other links are
-    the renames between versions. Names, of which there may be MOST_LINKS, are put together on the driver; files are not."""
-    spark = files.sparkSession
-    profiles = materialize(_in_base_units(profile(files)))
-    beside = materialize(together(files))
+def find_columns(files: DataFrame, fields: list[str]) -> tuple[dict[str, Profile], dict[str, dict[str, float]]]:
+    """(profiles with their columns, field -> path -> gain of the names that may stand for it).
+
+    Names of the same words in another spelling are linked wherever they occur; other links are the renames between
+    versions. A field asked for may stand under its own name in any spelling, all names of a column one of whose names is
+    such, and names that share NAME_LEAST of its words, hardly ever stand beside a spelling of it, and have like values.
+    What is about names, of which there may be MOST_LINKS, is done on the driver; what is about files is not."""
+    profiles, spark, n_files = profile(files), files.sparkSession, files.count()
     order = [F.col("written_at").asc_nulls_first(), F.col("file_id").asc()]
     placed = prefix_sums(files.select("file_id", "dataset", "algorithm", "written_at", "paths"), ["dataset", "algorithm"], order, {"place": F.lit(1).cast("bigint")})
-    counts = {r["path"]: r["files"] for r in _bounded(profiles.select("path", "files"), "names")}
-    moved = [tuple(r) for r in _bounded(renames(files, placed, profiles, beside, files.count()), "renames")]
+    versions = versions_of(placed)
+    changed = versions.select(F.explode("gone").alias("old"), "come").select("old", F.explode("come").alias("new")).distinct()
+    alike = {(a, b): like for a, b in _bounded(changed, "pairs of names") if (like := likeness(a, b, profiles, n_files))[0] > 0}
+    named = {f: {p: s for p in profiles if (s := name_similarity(f, p)) >= NAME_LEAST} for f in fields}
     spelled: dict[tuple, list[str]] = {}
-    for p in counts:
+    for p in sorted(profiles):
         if words_of(p.rpartition(".")[2]):
             spelled.setdefault(tuple(sorted(words_of(p.rpartition(".")[2]))), []).append(p)
-    moved += [(same[0], p, min(counts[same[0]], counts[p])) for same in spelled.values() for p in same[1:]]
-    linked = sorted({p for a, b, _ in moved for p in (a, b)})
-    near = spark.createDataFrame([(p,) for p in linked], "p string")
-    pairs = beside.join(near.withColumnRenamed("p", "a"), "a", "left_semi").join(near.withColumnRenamed("p", "b"), "b", "left_semi")
-    column = columns_of(counts, moved, {(r["a"], r["b"]): r["both"] for r in _bounded(pairs, "pairs of names")})
-    named = spark.createDataFrame(sorted(column.items()), "path string, column string")
-    return materialize(profiles.join(named, "path")), beside, placed
-
-
-def candidates(columns: DataFrame, beside: DataFrame, fields: list[str]) -> DataFrame:
-    """(path, field, gain): names that may stand for a field asked for: its own in any spelling, all names of a column
-    one of whose names is such, and names that share NAME_LEAST of its words, hardly ever stand beside a spelling of it,
-    and have like values."""
-    similar = F.pandas_udf(lambda paths: pd.Series([[name_similarity(f, p) for f in fields] for p in paths]), "array<double>")
-    named = columns.withColumn("s", similar("path")).select("path", "column", "files", "types", "sketch", F.posexplode("s").alias("f", "name"))
-    named = materialize(named.withColumn("field", F.element_at(F.array(*map(F.lit, fields)), F.col("f") + 1)).drop("f"))
-    spelled = named.filter(F.col("name") >= 1)
-    of_column = spelled.select("column", "field").distinct().withColumn("own", F.lit(True))
-    typical = spelled.groupBy("field").agg(F.array(*[F.avg(F.col("sketch")[i]) for i in range(len(QUANTILES))]).alias("usual"), F.array(*[F.avg(F.col("types")[i]) for i in range(len(KINDS))]).alias("usual_types"))
-    either = beside.select(F.col("a").alias("path"), F.col("b").alias("other"), "both").unionAll(beside.select(F.col("b").alias("path"), F.col("a").alias("other"), "both"))
-    met = either.join(spelled.select(F.col("path").alias("other"), "field"), "other").groupBy("path", "field").agg(F.sum("both").alias("beside"))
-    known = named.join(of_column, ["column", "field"], "left").join(typical, "field", "left").join(met, ["path", "field"], "left")
-    apart = F.coalesce(_apart("sketch", "usual"), F.lit(0.0))
-    shared = F.coalesce(F.aggregate(F.zip_with("types", "usual_types", lambda x, y: F.least(x, y)), F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
-    alone = F.coalesce("beside", F.lit(0)) <= F.lit(BESIDE_MOST) * F.col("files")
-    may = (F.col("name") >= 1) | (alone & (apart <= DECADES_MOST) & (F.col("own").isNotNull() | (F.col("name") >= NAME_LEAST)))
-    return known.filter(may).select("path", "field", (F.col("name") + shared / 2 + 1 / (1 + apart)).alias("gain"))
-
-
-def match(files: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
+    needed = {p for pair in alike for p in pair} | {p for of in named.values() for p in of} | {p for same in spelled.values() if len(same) > 1 for p in same}
+    some = lambda c: spark.createDataFrame([(p,) for p in sorted(needed)], f"{c} string")
+    pairs = together(files).join(some("a"), "a", "left_semi").join(some("b"), "b", "left_semi")
+    both = {(r["a"], r["b"]): r["both"] for r in _bounded(pairs, "pairs of names")}
+    gain = {}
+    for (a, b), (value, needs) in alike.items():
+        met = _beside(a, b, both)
+        if met <= BESIDE_MOST * min(profiles[a].files, profiles[b].files) and not (needs and met):
+            gain[a, b] = value
+    links = [tuple(r) for r in _bounded(renames(versions, gain), "renames")] if gain else []
+    links += [(same[0], p, min(profiles[same[0]].files, profiles[p].files)) for same in spelled.values() for p in same[1:]]
+    for p, column in columns_of({p: x.files for p, x in profiles.items()}, links, both).items():
+        profiles[p].column = column
+    return profiles, {f: _standing_for(named[f], profiles, both) for f in fields}
+
+
+def _standing_for(named: dict[str, float], profiles: dict[str, Profile], both: dict[tuple[str, str], int]) -> dict[str, float]:
+    """path -> gain of the names that may stand for a field, named being the likeness of names to its own."""
+    own = [p for p, s in named.items() if s >= 1]
+    columns, sketches = {profiles[p].column for p in own}, [profiles[p].sketch for p in own if profiles[p].sketch is not None]
+    usual = np.mean(sketches, axis=0) if sketches else None
+    kinds = np.mean([profiles[p].types for p in own], axis=0) if own else np.zeros(len(KINDS))
+    out = {}
+    for p in {*named, *[p for p, x in profiles.items() if x.column in columns]}:
+        x, name = profiles[p], named.get(p, 0.0)
+        apart = _apart(x.sketch, usual) or 0.0
+        alone = sum(_beside(p, o, both) for o in own if o != p) <= BESIDE_MOST * x.files
+        if name >= 1 or (alone and apart <= DECADES_MOST):
+            out[p] = name + float(np.minimum(x.types, kinds).sum()) / 2 + 1 / (1 + apart)
+    return out
+
+
+def match(files: DataFrame, names: dict[str, dict[str, float]]) -> DataFrame:
     """(file_id, dataset, algorithm, written_at, field, path, type, numbers): for every file and field the entry that
-    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the gains of their names, of
-    which there may be MOST_LINKS."""
-    gain: dict[str, list[tuple[int, float]]] = {}
-    for r in _bounded(names.select("path", "field", "gain"), "names of fields"):
-        gain.setdefault(r["path"], []).append((fields.index(r["field"]), r["gain"]))
+    stands for the field, or nulls. Per file a bipartite matching of fields and entries by the gains of their names."""
+    fields, gain = list(names), {}
+    for f, of in enumerate(names.values()):
+        for path, value in of.items():
+            gain.setdefault(path, []).append((f, value))
     keys, numbers = ["file_id", "dataset", "algorithm", "written_at"], ["path", "type", "numbers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,17 +403,16 @@ def match(files: DataFrame, names: DataFrame, fields: list[str]) -> DataFrame:
                 at += [None if j < 0 else start + some[j][0] for j in chosen]
                 start += len(paths)
             entries, again = b.column("entries").flatten(), pa.array(np.repeat(np.arange(b.num_rows), len(fields)))
-            names = pa.array(fields * b.num_rows, pa.string())
+            field = pa.array(fields * b.num_rows, pa.string())
             taken = [entries.field(n).take(pa.array(at, pa.int64())) for n in numbers]
-            yield pa.RecordBatch.from_arrays([*[b.column(k).take(again) for k in keys], names, *taken], names=[*keys, "field", *numbers])
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(again) for k in keys], field, *taken], names=[*keys, "field", *numbers])
 
     return files.select(*keys, "paths", "entries").mapInArrow(run, f"{FILE}, field string, path string, type string, numbers array<double>")
 
 
-def others(files: DataFrame, columns: DataFrame) -> DataFrame:
+def others(files: DataFrame, column: dict[str, str]) -> DataFrame:
     """(file_id, others): the fields of (file_id, body, asked) whose paths are not in asked, as JSON by the names of their
     columns, of which the first path counts."""
-    column = {r["path"]: r["column"] for r in _bounded(columns.select("path", "column"), "names")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -441,9 +448,8 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
     tasks: places in the series are exact prefix sums, and predecessors are found by joins on places.
     """
     files = materialize(read_files(results))
-    found, beside, _ = find_columns(files)
-    names = materialize(candidates(found, beside, list(fields)))
-    matched = materialize(match(files, names, list(fields)))  # range partitioning reads it twice
+    profiles, names = find_columns(files, list(fields))
+    matched = materialize(match(files, names))  # range partitioning reads it twice
     present, typed = F.col("path").isNotNull(), F.col("type").isNotNull()
     one = lambda c: F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     rows = prefix_sums(matched, ["dataset", "algorithm", "field"], [F.col("written_at").asc_nulls_first(), F.col("file_id").asc()], {"place": F.lit(1).cast("bigint"), "present": one(present), "typed": one(typed)})
@@ -471,7 +477,7 @@ def drift(results: DataFrame, fields: dict[str, str]) -> Drift:
         *[how[h](F.first(F.when(F.col("field") == f, F.col("v")), ignorenulls=True)).alias(f) for f, h in fields.items()],
     )
     asked = matched.filter(F.col("path").isNotNull()).groupBy("file_id").agg(F.collect_list("path").alias("asked"))
-    rest = others(files.select("file_id", "body").join(asked, "file_id", "left"), found)
-    kinds = F.filter(F.arrays_zip(F.array(*map(F.lit, KINDS)).alias("kind"), F.col("types").alias("share")), lambda x: x["share"] > 0)
-    report = found.select("column", "path", "files", F.transform(kinds, lambda x: x["kind"]).alias("types"))
+    rest = others(files.select("file_id", "body").join(asked, "file_id", "left"), {p: x.column for p, x in profiles.items()})
+    rows_of_report = [(x.column, p, x.files, [k for k, share in zip(KINDS, x.types) if share > 0]) for p, x in sorted(profiles.items())]
+    report = files.sparkSession.createDataFrame(rows_of_report, "column string, path string, files bigint, types array<string>")
     return Drift(table.join(rest, "file_id", "left"), changes.unionByName(types), report)
