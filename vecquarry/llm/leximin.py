@@ -36,16 +36,18 @@ def leximin(df: DataFrame, group: list[str], scores: dict[str, int], ties: list[
         # + 0.0 makes one value of -0.0 and 0.0
         goods.append(F.struct(F.lit(i).alias("s"), F.when(known, v * sign + F.lit(0.0)).otherwise(F.lit(None).cast("double")).alias("v")))
     keys = [f"__g{i}" for i in range(len(group))]
-    long = rows.select("__rid", *[F.col(g).alias(k) for g, k in zip(group, keys)], F.explode(F.array(*goods)).alias("x"))
-    long = long.select("__rid", *keys, F.col("x.s").alias("__s"), F.col("x.v").isNull().alias("__none"), F.coalesce("x.v", F.lit(0.0)).alias("__v"))
-    order = [F.col("__none").asc(), F.col("__v").desc(), F.col("__rid").asc()]
-    ranked = prefix_sums(long, [*keys, "__s"], order, {"__b": F.lit(1).cast("bigint")}, ties=["__none", "__v"])
-    per_row = ranked.groupBy("__rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__b"))), lambda x: x["__b"]).alias("better"))
+    # groups by number from here on; written, so that the numbers stay and Spark knows the table's size
     sizes = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys)]).agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.withColumn("__group", F.monotonically_increasing_id()))
     sized = salted_join(rows.withColumns(dict(zip(keys, map(F.col, group)))), sizes, keys, F.col("__rid")).drop(*keys)
+    long = sized.select("__rid", "__group", F.explode(F.array(*goods)).alias("x"))
+    long = long.select("__rid", "__group", F.col("x.s").alias("__s"), F.col("x.v").isNull().alias("__none"), F.coalesce("x.v", F.lit(0.0)).alias("__v"))
+    order = [F.col("__none").asc(), F.col("__v").desc(), F.col("__rid").asc()]
+    ranked = prefix_sums(long, ["__group", "__s"], order, {"__b": F.lit(1).cast("bigint")}, ties=["__none", "__v"])
+    per_row = ranked.groupBy("__rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("__s", "__b"))), lambda x: x["__b"]).alias("better"))
     vector = F.sort_array("better", asc=False)
     full = sized.join(per_row, "__rid").withColumns(
         {"worst": F.array_max("better"), "percentiles": F.transform(vector, lambda b: 1 - b / F.col("n")), "__vector": vector}
     )
     order = [*[F.col("__vector")[i].asc() for i in range(len(scores))], *[F.col(t).asc() for t in ties], F.col("__rid")]
-    return positions(full, group, order, "rank").drop("__rid", "__vector")
+    return positions(full, ["__group"], order, "rank").drop("__rid", "__group", "__vector")

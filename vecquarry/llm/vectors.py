@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 def usable(vectors: DataFrame, dataset_info: DataFrame) -> DataFrame:
     """(dataset, part, vec_id, embedding) of the vectors that are not null, have the dimension of their dataset, only
     finite numbers and not all zero. Rows delivered again stay; who uses the rows groups them by what the embedding
-    decides and takes each vec_id once there. Null datasets and vec_ids, and datasets without a dimension, have none."""
+    decides and takes each vec_id once there. Null datasets and vec_ids, and datasets without a dimension, have none; of several
+    dimensions of a dataset the least counts."""
     e = F.col("embedding")
-    dims = dataset_info.select("dataset", F.col("dimension").alias("__d")).filter(F.col("__d") > 0).distinct()
+    dims = dataset_info.filter(F.col("dimension") > 0).groupBy("dataset").agg(F.min("dimension").alias("__d"))
     finite = F.forall(e, lambda x: x.isNotNull()) & (F.array_max(e) < float("inf")) & (F.array_min(e) > float("-inf"))
     some = (F.array_max(e) != 0) | (F.array_min(e) != 0)
     rows = vectors.select("dataset", "part", "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & some)
